@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stonefly.llm import bpe, mixing, quality, secrets, simhash
-from stonefly.llm.common import input_table
+from stonefly.llm import ann, bpe, mixing, pii, quality, rules, secrets, simhash, spans, warc
+from stonefly.llm.common import Scratch, input_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,6 +20,16 @@ def query(f):
     return f
 
 
+@query
+def op1_pseudonyms(spark, d):
+    return pii.pseudonymise(input_table(spark, d, "documents"))
+
+
+@query
+def op2_adaptive_rules(spark, d):
+    return rules.judge(input_table(spark, d, "documents"))
+
+
 @query
 def op3_secret_scan(spark, d):
     return secrets.find_secrets(input_table(spark, d, "documents"))
@@ -29,6 +40,23 @@ def op4_byte_bpe(spark, d):
     return bpe.digests(input_table(spark, d, "documents"))
 
 
+@query
+def op5_multi_index(spark, d):
+    return ann.nearest(input_table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op6_warc(spark, d):
+    root = Scratch(spark).path()
+    warc.write(input_table(spark, d, "pages"), root)
+    return warc.read(spark, root)
+
+
+@query
+def op7_sentence_spans(spark, d):
+    return spans.remove_repeats(input_table(spark, d, "documents"))
+
+
 @query
 def op8_mix_sources(spark, d):
     return mixing.mix(input_table(spark, d, "documents"))
