@@ -42,7 +42,9 @@ BUCKET, BLOCK, CHUNK = 8192, 4096, 256
 
 
 def _fit(x: np.ndarray, k: int) -> np.ndarray:
-    """Centroids by Lloyd's rounds from distinct rows."""
+    """Centroids by Lloyd's rounds from distinct rows; half of a vector of width one is empty and has one."""
+    if not x.shape[1]:
+        return np.zeros((1, 0))
     distinct = np.unique(x, axis=0)
     rng = np.random.default_rng(SEED)
     c = distinct[np.sort(rng.choice(len(distinct), min(k, len(distinct)), replace=False))]

@@ -32,8 +32,9 @@ SENSITIVE = (b"password", b"passwd", b"secret", b"token", b"credential", b"beare
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=~-]{16,}")
 #: Bytes after a sensitive word in which a candidate may start, and the text on either side that primes the frame.
 REACH, AROUND = 48, 1024
-#: Marginal compressed bytes over the candidate's length from which on it is reported.
-NOVELTY = 0.55
+#: Marginal compressed bytes over the candidate's length from which on it is reported: a short one that nothing matches
+#: is stored as it is (1.0); from ``LONG`` bytes on literals are Huffman-coded, which saves what the alphabet allows.
+NOVELTY, NOVELTY_LONG, LONG = 0.85, 0.7, 64
 IDENTIFIERS = b" ".join(b"""self this return import from class function const let var public private static void string int float bool true false null none
 example sample placeholder changeme your_api_key your-token-here insert_token_here password secret token api_key apikey access_key client_secret client_id
 authorization bearer authentication credentials username user_name user_id session_id request response config configuration settings environment os.environ getenv
@@ -98,7 +99,7 @@ def novel_spans(b: bytes, low: bytes, base: list[tuple[int, int, int, int]]) ->
             done = e
             if any(x < e and s < y for x, y in taken) or not _mixed(m[0]):
                 continue
-            if novelty(m[0], b[max(0, s - AROUND) : s] + b"\n" + b[e : e + AROUND]) >= NOVELTY:
+            if novelty(m[0], b[max(0, s - AROUND) : s] + b"\n" + b[e : e + AROUND]) >= (NOVELTY if e - s < LONG else NOVELTY_LONG):
                 found.append((s, 3, e, s))
     return found
 
