@@ -60,10 +60,10 @@ def _signed(v: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``fp`` (bigint with the bits of the fingerprint)."""
+    """``doc_id``, ``fp`` (bigint with the bits of the fingerprint), ``th`` (a hash of the text as it is)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    pair = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(pair, lambda c: {"doc_id": c["doc_id"], "fp": [_signed(fingerprint(t)) for t in c["text"]]}, f"doc_id {kind}, fp bigint")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
+    return map_batches(own, lambda c: {"doc_id": c["doc_id"], "fp": [_signed(fingerprint(t)) for t in c["text"]], "th": c["th"]}, f"doc_id {kind}, fp bigint, th bigint")
 
 
 def _keys(value: Column, width: int, base: int, masked: bool) -> list[Column]:
@@ -186,7 +186,7 @@ def link_fingerprints(fps: DataFrame, scratch: Scratch, bits: int = BITS) -> Dat
 
 
 def components_of(prints: DataFrame, scratch: Scratch, bits: int = BITS) -> DataFrame:
-    """prints: ``doc_id``, ``fp``, on storage. Adds ``component_id``, the least doc_id reachable over links.
+    """prints: ``doc_id``, ``fp``, on storage. Adds ``component_id``, the least doc_id reachable over links, and ``root``, a fingerprint of the component.
 
     Null ids count as no id: a component of such rows alone has a null component_id. Repeated rows stay repeated.
     """
@@ -195,11 +195,11 @@ def components_of(prints: DataFrame, scratch: Scratch, bits: int = BITS) -> Data
     placed = scratch.cut(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked")))
     best = scratch.cut(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("k")).filter("k > 1"))
     # fingerprints of one document that link to none need no entry
-    known = placed.filter("copies > 1 or linked").join(best, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    heads = best.select(F.col("root").alias("fp"), "component_id")
+    known = placed.filter("copies > 1 or linked").join(best, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "root")
+    heads = best.select(F.col("root").alias("fp"), "component_id", "root")
     known = scratch.cut(known.join(heads.select("fp"), "fp", "left_anti").unionByName(heads))
     scratch.drop(fps, placed, best)
-    return prints.join(known, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return prints.join(known, "fp", "left").select(*prints.columns, F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
@@ -209,15 +209,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``components_of``; repeated rows are returned as often; further columns are ignored; no rows give no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    prints = scratch.cut(fingerprints(docs, id_col, text_col))
+    prints = scratch.cut(fingerprints(docs, id_col, text_col).drop("th"))
     out = components_of(prints, scratch, bits)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """The documents that lead their component, the one of least doc_id; exact repeats of a row's id and
-    text go as well. Rows without an id cannot lead and stay, as nothing tells them from each other."""
+    """The documents that lead their component, with all their columns: the row of least doc_id, and of rows that share
+    it the one of least text hash; exact repeats of its id and text go as well.
+
+    A row without an id goes if its component has one with an id; components of such rows alone stay, as do their
+    repeats. Texts are exchanged only where the rows that go are too many to broadcast.
+    """
     scratch = Scratch(docs.sparkSession)
     prints = scratch.cut(fingerprints(docs))
-    follow = scratch.cut(components_of(prints, scratch, bits).filter("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(follow, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    placed = scratch.cut(components_of(prints, scratch, bits).select("doc_id", "th", "component_id", "root"))
+    lead = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    leads = placed.filter(lead & F.col("doc_id").isNotNull())
+    shared = scratch.cut(leads.groupBy(F.col("root").alias("of"), F.col("doc_id").alias("id")).agg(F.min("th").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    second = leads.join(shared, (F.col("root") == F.col("of")) & (F.col("th") > F.col("first")))
+    follow = placed.filter(~lead).unionByName(second.select(*placed.columns))
+    gone = scratch.cut(follow.select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text").withColumn("th", F.xxhash64("text"))
+    kept = rows.join(gone, F.col("th").eqNullSafe(F.col("g_th")) & F.col("doc_id").eqNullSafe(F.col("g_id")), "left_anti")
+    # only rows of an id that several have can be repeats
+    several = shared.select("id").distinct()
+    once = kept.join(several, F.col("doc_id") == F.col("id"), "left_anti").select("_row")
+    repeats = kept.join(several, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id", "text"]).select("_row")
+    return (once.unionByName(repeats) if shared.take(1) else once).select("_row.*")

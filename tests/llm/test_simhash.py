@@ -92,11 +92,19 @@ def test_frames(spark):
 
 
 def test_keep_first(spark):
-    rows = [(5, "a b c d e f", "x"), (3, "A b c d e f", "y"), (3, "A b c d e f", "y"), (4, "quite another text of words", None)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    rows = [
+        (5, "a b c d e f", "x"), (3, "A b c d e f", "y"), (3, "A b c d e f", "y"), (3, "a B c d e f", "z"), (3, "some other words altogether here", "w"), (None, "a b c d e F", "v"),
+        (4, "quite another text of words", None), (None, "no id and no copy at all", "u"), (None, "no id and no copy at all", "u"), (8, None, "t"), (9, "", "s"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, th string")
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
-    assert sorted(map(tuple, kept.collect())) == [(3, "A b c d e f", "y"), (4, "quite another text of words", None)]
+    got = sorted(map(tuple, kept.collect()), key=repr)
+    # of document 3, rows that share its component leave one; its other text is a component of its own
+    one = [r for r in got if r[0] == 3 and r[1] != rows[4][1]]
+    assert len(one) == 1 and one[0] in rows
+    assert got == sorted([*one, rows[4], rows[6], rows[7], rows[8], rows[9]], key=repr)
+    assert simhash.keep_first(docs.limit(0)).collect() == []
 
 
 def test_table(spark):
