@@ -30,6 +30,9 @@ def op2_adaptive_rules(spark, d):
     return rules.judge(input_table(spark, d, "documents"))
 
 
+SQL["op2_adaptive_rules"] = rules.SQL
+
+
 @query
 def op3_secret_scan(spark, d):
     return secrets.find_secrets(input_table(spark, d, "documents"))
@@ -49,7 +52,10 @@ def op5_multi_index(spark, d):
 def op6_warc(spark, d):
     root = Scratch(spark).path()
     warc.write(input_table(spark, d, "pages"), root)
-    return warc.read(spark, root)
+    return warc.read(spark, root).drop("url", "archive")
+
+
+SQL["op6_warc"] = warc.SQL
 
 
 @query

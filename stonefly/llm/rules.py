@@ -165,3 +165,50 @@ def keep(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     keyed = docs.withColumn("_key", key)
     bad = Scratch(docs.sparkSession).cut(judge(keyed, "_key").filter("not kept").select("doc_id").distinct())
     return keyed.join(bad, F.col("_key") == bad["doc_id"], "left_anti").select(*docs.columns)
+
+
+def _sql() -> str:
+    """The same verdicts in DuckDB: exact counts of the buckets, so the sketches agree."""
+    word, g = r"[^\x20\x09-\x0D]", (1 + ERROR) / (1 - ERROR)
+    strip = lambda chars: f"(length(text) - length(regexp_replace(text, '{chars}', '', 'g')))"
+    shares = ["word_chars / n_words", "n_symbols / n_words", "bangs / n_words", "uppers / word_chars", "digits / word_chars", "n_dup_lines / n_lines", "n_repeat_words / n_words"]
+    measures = "\n  UNION ALL ".join(f"SELECT doc_id, lang, source, {i} AS k, {x} AS x FROM b WHERE NOT base_failed" for i, x in enumerate(shares))
+    slack = ", ".join(f"({i}, '{n}', {'NULL' if lo is None else lo}, {hi})" for i, (n, (lo, hi)) in enumerate(SLACK.items()))
+
+    def level(name: str, keys: str) -> str:
+        by = f"{keys}, k" if keys else "k"
+        at = ", ".join(f"min(bucket) FILTER (upto >= {q} * size) AS b{n}" for n, q in (("25", 0.25), ("50", 0.5), ("75", 0.75)))
+        v = lambda n: f"CASE WHEN b{n} = 0 THEN 0.0::DOUBLE ELSE 2 * {LEAST!r}::DOUBLE * pow({g!r}::DOUBLE, b{n} - 1) / {g + 1!r}::DOUBLE END AS q{n}"
+        return f"""{name}_c AS (SELECT {by}, bucket, count(*) AS n FROM z GROUP BY ALL),
+{name}_u AS (SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by}) AS size, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto FROM {name}_c),
+{name}_q AS (SELECT {by}, size, {at} FROM {name}_u GROUP BY {by}, size),
+{name} AS (SELECT {by}, size, q50 - greatest(below, {WIDTH} * (q50 - q25)) AS low_raw, q50 + greatest(above, {WIDTH} * (q75 - q50)) AS high
+  FROM (SELECT *, {v("25")}, {v("50")}, {v("75")} FROM {name}_q) JOIN slack USING (k))"""
+
+    return f"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+l AS (SELECT *, regexp_extract_all(text, '{word}+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM t),
+c AS (SELECT doc_id, lang, source, len(ws) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars, {strip("[#*$%&|<>]")} AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, {strip("!")} AS bangs, {strip("[A-Z]")} AS uppers, {strip("[0-9]")} AS digits FROM l),
+w AS (SELECT doc_id, i, CASE WHEN i + {WINDOW - 1} <= n THEN ws[i:i + {WINDOW - 1}] END AS win FROM (SELECT doc_id, ws, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS i FROM l)),
+r AS (SELECT doc_id, i, (win IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, win) > 1)::INT AS rep FROM w),
+o AS (SELECT doc_id, max(rep) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS covered FROM r),
+a AS (SELECT c.*, coalesce(n, 0) AS n_repeat_words FROM c LEFT JOIN (SELECT doc_id, sum(covered) AS n FROM o GROUP BY doc_id) USING (doc_id)),
+b AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM a),
+m AS ({measures}),
+z AS (SELECT *, CASE WHEN x < {LEAST!r} THEN 0 ELSE ceil(ln(x / {LEAST!r}::DOUBLE) / {math.log(g)!r}::DOUBLE) + 1 END AS bucket FROM m),
+slack(k, name, below, above) AS (VALUES {slack}),
+{level("fine", "lang, source")},
+{level("wide", "lang")},
+{level("whole", "")},
+f AS (SELECT m.doc_id, m.k, slack.name, m.x, CASE WHEN fine.size >= {GROUP} THEN fine.low_raw WHEN wide.size >= {GROUP} THEN wide.low_raw ELSE whole.low_raw END AS low,
+    CASE WHEN fine.size >= {GROUP} THEN fine.high WHEN wide.size >= {GROUP} THEN wide.high ELSE whole.high END AS high, slack.below
+  FROM m JOIN fine ON m.lang IS NOT DISTINCT FROM fine.lang AND m.source IS NOT DISTINCT FROM fine.source AND m.k = fine.k
+  JOIN wide ON m.lang IS NOT DISTINCT FROM wide.lang AND m.k = wide.k JOIN whole ON m.k = whole.k JOIN slack ON m.k = slack.k),
+v AS (SELECT doc_id, string_agg(name, ',' ORDER BY k) AS outside FROM f WHERE below IS NOT NULL AND x < low OR x > high GROUP BY doc_id)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  base_failed, NOT base_failed AND outside IS NULL AS kept, coalesce(outside, '') AS outside
+FROM b LEFT JOIN v USING (doc_id)"""
+
+
+SQL = _sql()

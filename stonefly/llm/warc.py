@@ -318,3 +318,12 @@ def read(spark: SparkSession, root: str, with_payload: bool = False) -> DataFram
     # each file is a task's work
     numbered = files.repartition(max(1, min(n, 10_000)))
     return numbered.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))
+
+
+#: What writing and reading back must give.
+SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+g AS (SELECT html, max(page_id) AS top FROM p WHERE n >= {LEAST_REVISIT} GROUP BY html HAVING count(*) > 1)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < top THEN top END AS refers_to
+FROM p LEFT JOIN g USING (html)"""
