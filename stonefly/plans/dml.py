@@ -30,6 +30,10 @@ class ConstraintViolation(ValueError):
     pass
 
 
+class CommitConflict(RuntimeError):
+    """Another writer has published this version of the table."""
+
+
 class Store:
     """Segments and manifests of one table on any Hadoop file system."""
 
@@ -39,27 +43,53 @@ class Store:
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def read_manifest(self) -> dict:
-        at = self._path(f"{self.path}/CURRENT")
+    def _manifests(self) -> list[int]:
+        at = self._path(self.path)
         if not self._fs.exists(at):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(at)]
+        return sorted(int(n.removeprefix("manifest-")) for n in names if n.startswith("manifest-"))
+
+    def read_manifest(self) -> dict:
+        """The last version published; those before it stay readable until ``vacuum``."""
+        known = self._manifests()
+        if not known:
             return {"version": 0, "data": [], "gone": [], "next_seg": 1}
-        stream = self._fs.open(at)
+        stream = self._fs.open(self._path(self._name(known[-1])))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
+    def _name(self, version: int) -> str:
+        return f"{self.path}/manifest-{version:012d}"
+
     def commit(self, manifest: dict) -> None:
-        draft = self._path(f"{self.path}/_draft-{uuid.uuid4().hex}")
+        """Publish by one rename to a name that must be free, so there is a whole manifest at any moment and a second writer of the same version fails."""
+        draft, final = self._path(f"{self.path}/_draft-{uuid.uuid4().hex}"), self._path(self._name(manifest["version"]))
         out = self._fs.create(draft, True)
         try:
             out.write(bytearray(json.dumps(manifest).encode()))
         finally:
             out.close()
-        final = self._path(f"{self.path}/CURRENT")
-        self._fs.delete(final, False)
-        if not self._fs.rename(draft, final):
-            raise OSError(f"cannot publish {final}")
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            self._fs.delete(draft, False)
+            raise CommitConflict(f"version {manifest['version']} of {self.path} is published already")
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Drop all manifests but the last ``keep``, and segments and drafts that none of these names."""
+        kept = self._manifests()[-keep:]
+        named = {f"manifest-{v:012d}" for v in kept}
+        for v in kept:
+            stream = self._fs.open(self._path(self._name(v)))
+            try:
+                m = json.loads(bytes(stream.readAllBytes()).decode())
+            finally:
+                stream.close()
+            named |= {*m["data"], *m["gone"]}
+        for f in self._fs.listStatus(self._path(self.path)):
+            if f.getPath().getName() not in named:
+                self._fs.delete(f.getPath(), True)
 
     def remove(self) -> None:
         self._fs.delete(self._path(self.path), True)

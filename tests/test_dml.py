@@ -2,7 +2,7 @@ import uuid
 
 import pytest
 
-from stonefly.plans.dml import ConstraintViolation
+from stonefly.plans.dml import CommitConflict, ConstraintViolation, Store
 from stonefly.plans.txn import Isolation, TupleNonExistent, TupleNotVisible
 from stonefly.session import Engine, UnsupportedStatement, shared_folder, split_top
 from stonefly.sources.catalog import CatalogNotFound, TableExists
@@ -103,3 +103,20 @@ def test_change_feed(engine, spark):
     q = read_changes(spark, info.path, "id bigint, owner string, n int, small smallint, _seg int, _row bigint, _xmin bigint").writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-ck").trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert spark.read.parquet(path).count() == 3
+
+
+def test_publishing(engine, spark):
+    """A version is published once; a draft that a lost driver left does no harm; vacuum keeps what is in use."""
+    path = engine.catalog.table("acc").path
+    store = Store(spark, path)
+    now = store.read_manifest()
+    with pytest.raises(CommitConflict):
+        store.commit(now)
+    store._fs.create(store._path(f"{path}/_draft-left"), True).close()
+    engine.sql("DELETE FROM acc WHERE id = 1")
+    want = rows(engine.table("acc"))
+    assert store.read_manifest()["version"] == now["version"] + 1
+    store.vacuum()
+    assert rows(engine.table("acc")) == want and len(store._manifests()) == 1
+    engine.sql("INSERT INTO acc (id, owner) VALUES (7, 'g')")
+    assert len(rows(engine.table("acc"))) == len(want) + 1
