@@ -10,7 +10,8 @@ centroids were fitted on: its ``k`` best sample members lie in cells of known
 sums, and it goes on to the least of these. Of the true neighbours about k in
 k + 1 lie before that point, and more where the sample is a small part of all
 rows, as its best are then worse than the true ones. Close clusters end the
-walk after a few cells. ``exact=True`` takes every cell.
+walk after a few cells. ``exact=True`` takes every cell. The k-th best score of
+the sample is also one that the true k-th reaches, so no bucket sends on less.
 
 Cells are packed into buckets of about ``BUCKET`` rows; a larger cell is split
 over several by a hash of the id, so no group of equal vectors lands in one
@@ -103,9 +104,10 @@ class Index:
     def sums(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return q[:, : self.half] @ self.a.T, q[:, self.half :] @ self.b.T
 
-    def stops(self, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """For each query the sum of centroids down to which it takes cells."""
-        out = np.full(len(q), -np.inf)
+    def stops(self, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the sum of centroids down to which it takes cells, and a score that its k-th neighbour reaches:
+        that of its k-th in the sample."""
+        out, floor = np.full(len(q), -np.inf), np.full(len(q), -np.inf)
         a, b = self.sums(q)
         for at in range(0, len(q), CHUNK):
             s = slice(at, at + CHUNK)
@@ -116,8 +118,9 @@ class Index:
             best = np.argpartition(-score, self.k - 1, axis=1)[:, : self.k]
             cells = self.cells[best]
             sums = np.take_along_axis(a[s], cells // len(self.b), 1) + np.take_along_axis(b[s], cells % len(self.b), 1)
-            out[s] = np.where(np.isfinite(np.take_along_axis(score, best, 1)).all(1), sums.min(1), -np.inf)
-        return out
+            floor[s] = np.take_along_axis(score, best, 1).min(1)
+            out[s] = np.where(np.isfinite(floor[s]), sums.min(1), -np.inf)
+        return out, floor
 
     def walk(self, a: np.ndarray, b: np.ndarray, stop: float) -> Iterator[int]:
         """Cells in falling order of a[i] + b[j], down to ``stop``."""
@@ -161,12 +164,12 @@ def _unpacked(col: pa.ChunkedArray | pa.Array, kind: str, width: int) -> np.ndar
     return np.frombuffer(b"".join(col.to_pylist()), kind).reshape(-1, width).astype(float)
 
 
-def _best(ids: np.ndarray, x: np.ndarray, raw: np.ndarray, q_ids: np.ndarray, q: np.ndarray, allowed: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """Of each query the k best allowed rows. Products are summed without rounding, so equal vectors tie exactly."""
+def _best(ids: np.ndarray, x: np.ndarray, raw: np.ndarray, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, allowed: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """Of each query the k best allowed rows from its floor on. Products are summed without rounding, so equal vectors tie exactly."""
     found = []
     for at in range(0, len(q), CHUNK):
         score = q[at : at + CHUNK] @ x.T
-        score[~allowed[at : at + CHUNK] | (q_ids[at : at + CHUNK, None] == ids[None, :])] = -np.inf
+        score[~allowed[at : at + CHUNK] | (q_ids[at : at + CHUNK, None] == ids[None, :]) | (score < floor[at : at + CHUNK, None])] = -np.inf
         for r, row in enumerate(score):
             if len(row) > k:
                 edge = np.partition(row, len(row) - k)[len(row) - k]
@@ -218,9 +221,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         if share == 1:
             return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
         got = rows.select("vec_id", "v").mapInArrow(sample, "vec_id bigint, v binary").limit(size).toArrow()
-    ids = got.column("vec_id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    index = Index(ids[order], _unpacked(got.column("v"), kind, width)[order], n, k)
+    # in order of ids; a repeated row counts once here too, or the k-th best would not be that of k rows
+    once = sorted({(i, v) for i, v in zip(got.column("vec_id").to_pylist(), got.column("v").to_pylist(), strict=True)})
+    index = Index(np.array([i for i, _ in once], np.int64), np.frombuffer(b"".join(v for _, v in once), kind).reshape(-1, width).astype(float), n, k)
     fitted = spark.sparkContext.broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,18 +246,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         ix = placed.value
         for b in batches:
             ids, q = b.column(0).to_numpy(), _unpacked(b.column(2), kind, width)
-            stops = np.full(len(q), -np.inf) if exact else ix.stops(ids, q)
+            stops, floor = ix.stops(ids, q)
+            stops = np.full(len(q), -np.inf) if exact else stops
+            floor = floor - 1e-9 * np.maximum(1.0, np.abs(floor))  # what rounding may add
             sums = ix.sums(q)
             blocks = ix.bucket_of(ids, b.column(1).to_numpy()) // together
             at = [(x, r) for r in range(len(q)) for x in ix.buckets_of(sums[0][r], sums[1][r], stops[r])]
             which = np.array([r for _, r in at], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in at], pa.int64()), pa.array(blocks[which]), pa.array(ids[which]), b.column(2).take(pa.array(which)), pa.array(stops[which])], names=["bucket", "block", "query_id", "q", "stop"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in at], pa.int64()), pa.array(blocks[which]), pa.array(ids[which]), b.column(2).take(pa.array(which)), pa.array(stops[which]), pa.array(floor[which])], names=["bucket", "block", "query_id", "q", "stop", "floor"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(placed.value.bucket_of(b.column(0).to_numpy(), b.column(1).to_numpy())), *b.columns[:3]], names=["bucket", "vec_id", "cell", "v"])
 
-    asks = scratch.cut(stored.filter("ask").drop("ask").mapInArrow(ask, "bucket bigint, block bigint, query_id bigint, q binary, stop double"))
+    asks = scratch.cut(stored.filter("ask").drop("ask").mapInArrow(ask, "bucket bigint, block bigint, query_id bigint, q binary, stop double, floor double"))
     there = stored.drop("ask").mapInArrow(spread, "bucket bigint, vec_id bigint, cell bigint, v binary")
     pairs = asks.groupBy("bucket", "block").count().select(F.col("bucket").alias("to"), F.col("block").alias("by"))
     meets = there.join(pairs, F.col("bucket") == F.col("to")).select("to", "by", "vec_id", "cell", "v")
@@ -268,11 +273,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             row_ids, raw, cells = row_ids[one], raw[one], left.column("cell").to_numpy()[one]
             x = np.frombuffer(b"".join(raw), kind).reshape(-1, width).astype(float)
             q_ids, q, stop = right.column("query_id").to_numpy(), _unpacked(right.column("q"), kind, width), right.column("stop").to_numpy()
+            floor = right.column("floor").to_numpy()
             for at in range(0, len(q), CHUNK):
                 s = slice(at, at + CHUNK)
                 a, b = ix.sums(q[s])
                 allowed = a[:, cells // len(ix.b)] + b[:, cells % len(ix.b)] >= stop[s, None] - 1e-9
-                found += _best(row_ids, x, raw, q_ids[s], q[s], allowed, k)
+                found += _best(row_ids, x, raw, q_ids[s], q[s], floor[s], allowed, k)
         cols = list(zip(*found, strict=True)) if found else [[], [], []]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 

@@ -88,6 +88,12 @@ def test_copies(spark, monkeypatch):
     assert all(got[q] == want[q] for q in want if q % 3 == 0)
 
 
+def test_repeated_rows(spark):
+    """Rows that are there thirty times count once, also for the score that ends the search."""
+    rows = noise(60, 4)
+    assert lists(ann.nearest(frame(spark, rows + [rows[3], rows[7]] * 30 + [rows[20]] * 5), asked())) == brute(rows)
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     good = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [-1.0, 0.0]), (20, [1.0, 2.0]), (40, [0.5, 0.0])]
