@@ -51,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
-    docs = input_table(spark, sf_dir, "documents")
+    docs = input_table(spark, sf_dir, "documents", spread=True)
     for _, stage in STAGES[:-1]:
         docs = scratch.cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

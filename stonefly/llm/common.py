@@ -93,5 +93,9 @@ def is_local(path: str) -> bool:
     return urlparse(path).scheme in ("", "file")
 
 
-def input_table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+def input_table(spark: SparkSession, d: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of the folder ``d``. ``spread``: if it has fewer splits than the session has cores, its rows are dealt
+    anew over all of them, which pays where the work on a row is far more than moving it."""
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df

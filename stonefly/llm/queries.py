@@ -22,12 +22,12 @@ def query(f):
 
 @query
 def op1_pseudonyms(spark, d):
-    return pii.pseudonymise(input_table(spark, d, "documents"))
+    return pii.pseudonymise(input_table(spark, d, "documents", spread=True))
 
 
 @query
 def op2_adaptive_rules(spark, d):
-    return rules.judge(input_table(spark, d, "documents"))
+    return rules.judge(input_table(spark, d, "documents", spread=True))
 
 
 SQL["op2_adaptive_rules"] = rules.SQL
@@ -35,12 +35,12 @@ SQL["op2_adaptive_rules"] = rules.SQL
 
 @query
 def op3_secret_scan(spark, d):
-    return secrets.find_secrets(input_table(spark, d, "documents"))
+    return secrets.find_secrets(input_table(spark, d, "documents", spread=True))
 
 
 @query
 def op4_byte_bpe(spark, d):
-    return bpe.digests(input_table(spark, d, "documents"))
+    return bpe.digests(input_table(spark, d, "documents", spread=True))
 
 
 @query
@@ -51,7 +51,7 @@ def op5_multi_index(spark, d):
 @query
 def op6_warc(spark, d):
     root = Scratch(spark).path()
-    warc.write(input_table(spark, d, "pages"), root)
+    warc.write(input_table(spark, d, "pages", spread=True), root)
     return warc.read(spark, root).drop("url", "archive")
 
 
@@ -60,12 +60,12 @@ SQL["op6_warc"] = warc.SQL
 
 @query
 def op7_sentence_spans(spark, d):
-    return spans.remove_repeats(input_table(spark, d, "documents"))
+    return spans.remove_repeats(input_table(spark, d, "documents", spread=True))
 
 
 @query
 def op8_mix_sources(spark, d):
-    return mixing.mix(input_table(spark, d, "documents"))
+    return mixing.mix(input_table(spark, d, "documents", spread=True))
 
 
 SQL["op8_mix_sources"] = mixing.SQL
@@ -73,12 +73,12 @@ SQL["op8_mix_sources"] = mixing.SQL
 
 @query
 def op9_quality_classifier(spark, d):
-    return quality.score(input_table(spark, d, "documents"), input_table(spark, d, "labels"))
+    return quality.score(input_table(spark, d, "documents", spread=True), input_table(spark, d, "labels"))
 
 
 @query
 def op10_simhash(spark, d):
-    return simhash.near_duplicates(input_table(spark, d, "documents"))
+    return simhash.near_duplicates(input_table(spark, d, "documents", spread=True))
 
 
 @query
