@@ -1,7 +1,7 @@
 """Substring dedup by sliding spans of sentences.
 
 A text is cut into sentences, and a sentence of more than ``PIECE`` words into
-pieces. From each sentence a span runs over ``RUN`` sentences, or further until
+pieces at places that its words define. From each sentence a span runs over ``RUN`` sentences, or further until
 it has ``LEAST_WORDS`` words, and is known by 128 bits of hash of its words in
 lower case. Of the places of a span over all documents the first, by id and
 position, stays; sentences covered by any other are removed.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,23 @@ from pyspark.sql import types as T
 
 from stonefly.llm.common import Scratch
 
-#: Sentences and words of a span at least; words of a piece of a long sentence at most.
-RUN, LEAST_WORDS, PIECE = 3, 16, 16
+#: Sentences and words of a span at least; words of a piece of a long sentence at most; one word in so many ends a piece.
+RUN, LEAST_WORDS, PIECE, PICK = 3, 16, 16, 8
 #: Where a sentence ends: a stop, closing marks and white space, or the line.
 _STOP = re.compile(rb"""(?:[.!?]|\xe3\x80\x82|\xef\xbc[\x81\x9f])["')\]]*[ \t\r\x0b\x0c]+|\n+""")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+def _cuts(words: list[bytes]) -> list[int]:
+    """Where the pieces of a long sentence begin, and its end: after words that a checksum picks, so that a word more or
+    less in one copy moves the cuts only up to the next such word, and after ``PIECE`` words at the latest."""
+    cuts = [0]
+    for i, w in enumerate(words, 1):
+        if not crc32(w) % PICK or i - cuts[-1] == PIECE:
+            cuts.append(i)
+    return cuts if cuts[-1] == len(words) else [*cuts, len(words)]
+
+
 def sentences(b: bytes) -> list[tuple[int, int, int, bytes]]:
     """Start, end (up to the next start), number of words and hash of each sentence or piece. All bytes from the first to the last word lie in one."""
     out = []
@@ -45,11 +56,11 @@ def sentences(b: bytes) -> list[tuple[int, int, int, bytes]]:
         if n <= PIECE:
             out.append((at, end, n, digest(b" ".join(words))))
         else:
-            starts = [m.start() for m in _WORD.finditer(b, at, end)][::PIECE]
+            starts = [m.start() for m in _WORD.finditer(b, at, end)]
             starts[0] = at
-            for k, (s, e) in enumerate(zip(starts, [*starts[1:], end], strict=True)):
-                own = words[k * PIECE : (k + 1) * PIECE]
-                out.append((s, e, len(own), digest(b" ".join(own))))
+            cuts = _cuts(words)
+            for k, m in zip(cuts, cuts[1:], strict=False):
+                out.append((starts[k], starts[m] if m < n else end, m - k, digest(b" ".join(words[k:m]))))
         at = end
     return out
 

@@ -73,6 +73,17 @@ def test_passage_of_fifty_words(spark):
         assert len(left) == len(set(p.split())) if i % 10 == 0 else len(left) <= 18
 
 
+def test_edited_copy(spark):
+    """A word more at the start of a long sentence shifts no more than the pieces next to it."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    long = [word() for _ in range(90)]
+    rows = [(1, " ".join(long) + "."), (2, " ".join(["more", *long]) + "."), (3, " ".join(["quite", "other", "words", *long[20:], "here"]) + ".")]
+    got = {x.doc_id: x.text for x in spans.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1] == rows[0][1]
+    assert len(got[2].split()) < 35 and len(got[3].split()) < 35
+
+
 def test_common_short_lines_stay(spark):
     rows = [(i, f"Licensed under the usual terms.\nNumber {i} of many things {i * 7919} here. End.") for i in range(50)]
     got = spans.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
