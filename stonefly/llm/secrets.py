@@ -2,8 +2,9 @@
 
 A candidate is a long run of secret-like characters that follows a sensitive
 word. Its novelty is what it adds to a zstandard frame primed with a dictionary
-of common identifiers and the text around it: a name used nearby or known from
-code compresses away, a key does not.
+of common identifiers and the text around it without its own copies: a name
+known from code or made of the words nearby compresses away, a key does not,
+however often it is written.
 
 All work is on UTF-8 bytes, where every pattern is ASCII; only the spans found
 are turned into code points.
@@ -29,7 +30,8 @@ _HEX = bytes(104 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 _HEX_RUN = b"h" * 24
 #: Words that make what follows them a candidate.
 SENSITIVE = (b"password", b"passwd", b"secret", b"token", b"credential", b"bearer", b"authorization", b"private_key", b"privatekey", b"access_key", b"accesskey", b"api_key", b"apikey", b"client_id", b"signature")
-_CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=~-]{16,}")
+LEAST = 16
+_CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=~-]{%d,}" % LEAST)
 #: Bytes after a sensitive word in which a candidate may start, and the text on either side that primes the frame.
 REACH, AROUND = 48, 1024
 #: Marginal compressed bytes over the candidate's length from which on it is reported: a short one that nothing matches
@@ -50,6 +52,31 @@ def novelty(candidate: bytes, around: bytes) -> float:
     return (len(c.compress(candidate)) - len(c.compress(b""))) / len(candidate)
 
 
+def _blanked(text: bytes, candidate: bytes) -> bytes:
+    """The text with all that it shares with the candidate over at least a candidate's length made blank."""
+    n = range(len(text) - LEAST + 1)
+    own = {text[i : i + LEAST] for i in n}
+    shared = {g for i in range(len(candidate) - LEAST + 1) if (g := candidate[i : i + LEAST]) in own}
+    if not shared:
+        return text
+    out = bytearray(text)
+    for i in n:
+        if text[i : i + LEAST] in shared:
+            out[i : i + LEAST] = b"\n" * LEAST
+    return bytes(out)
+
+
+def _is_novel(b: bytes, s: int, e: int) -> bool:
+    """Whether what stands from ``s`` to ``e`` is novel beside the text around, other copies of it left out."""
+    least = NOVELTY if e - s < LONG else NOVELTY_LONG
+    if novelty(b[s:e], b[max(0, s - AROUND) : s] + b"\n" + b[e : e + AROUND]) >= least:
+        return True
+    # copies that the ends of the text around cut are known by the bytes beyond
+    before, after = b[max(0, s - AROUND - LEAST + 1) : s], b[e : e + AROUND + LEAST - 1]
+    left, right = _blanked(before, b[s:e]), _blanked(after, b[s:e])
+    return (left != before or right != after) and novelty(b[s:e], left[-AROUND:] + b"\n" + right[:AROUND]) >= least
+
+
 def _mixed(s: bytes) -> bool:
     """Digits and letters both, of a kind that no word or number alone has."""
     digits = sum(48 <= x <= 57 for x in s)
@@ -99,7 +126,7 @@ def novel_spans(b: bytes, low: bytes, base: list[tuple[int, int, int, int]]) ->
             done = e
             if any(x < e and s < y for x, y in taken) or not _mixed(m[0]):
                 continue
-            if novelty(m[0], b[max(0, s - AROUND) : s] + b"\n" + b[e : e + AROUND]) >= (NOVELTY if e - s < LONG else NOVELTY_LONG):
+            if _is_novel(b, s, e):
                 found.append((s, 3, e, s))
     return found
 
