@@ -77,13 +77,6 @@ def _is_novel(b: bytes, s: int, e: int) -> bool:
     return (left != before or right != after) and novelty(b[s:e], left[-AROUND:] + b"\n" + right[:AROUND]) >= least
 
 
-def _mixed(s: bytes) -> bool:
-    """Digits and letters both, of a kind that no word or number alone has."""
-    digits = sum(48 <= x <= 57 for x in s)
-    letters = sum(65 <= x <= 90 or 97 <= x <= 122 for x in s)
-    return digits >= 3 and letters >= 3 and len(set(s)) >= 8
-
-
 def _places(low: bytes, words: tuple[bytes, ...]) -> list[int]:
     out = []
     for w in words:
@@ -124,7 +117,7 @@ def novel_spans(b: bytes, low: bytes, base: list[tuple[int, int, int, int]]) ->
             m = _CANDIDATE.match(b, m.start())
             s, e = m.span()
             done = e
-            if any(x < e and s < y for x, y in taken) or not _mixed(m[0]):
+            if any(x < e and s < y for x, y in taken):
                 continue
             if _is_novel(b, s, e):
                 found.append((s, 3, e, s))
