@@ -29,10 +29,14 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = bytes(104 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 _HEX_RUN = b"h" * 24
 #: Words that make what follows them a candidate.
-SENSITIVE = (b"password", b"passwd", b"secret", b"token", b"credential", b"bearer", b"authorization", b"private_key", b"privatekey", b"access_key", b"accesskey", b"api_key", b"apikey", b"client_id", b"signature")
+SENSITIVE = (b"password", b"passwd", b"secret", b"token", b"credential", b"bearer", b"authorization", b"signature") + tuple(
+    a + by + z for a, z in ((b"private", b"key"), (b"access", b"key"), (b"api", b"key"), (b"client", b"id")) for by in (b"_", b"-", b" ", b"")
+)
 LEAST = 16
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=~-]{%d,}" % LEAST)
-#: Bytes after a sensitive word in which a candidate may start, and the text on either side that primes the frame.
+#: Key material goes on where the next line holds nothing else before it.
+_NEXT = re.compile(rb"[ \t]*\r?\n[ \t]*(?=[A-Za-z0-9+/_.=~-]{%d})" % LEAST)
+#: Bytes after the end of a sensitive word in which a candidate may start, and the text on either side that primes the frame.
 REACH, AROUND = 48, 1024
 #: Marginal compressed bytes over the candidate's length from which on it is reported: a short one that nothing matches
 #: is stored as it is (1.0); from ``LONG`` bytes on literals are Huffman-coded, which saves what the alphabet allows.
@@ -111,16 +115,20 @@ def base_spans(b: bytes, low: bytes) -> list[tuple[int, int, int, int]]:
 def novel_spans(b: bytes, low: bytes, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     found, done = [], 0
     taken = [(s[0], s[2]) for s in base]
-    for at in _places(low, SENSITIVE):
-        for m in _CANDIDATE.finditer(b, max(at, done), min(len(b), at + REACH)):
+    for at, word in sorted((at, len(w)) for w in SENSITIVE for at in _places(low, (w,))):
+        last = at + word + REACH
+        at = max(at, done)
+        while at <= last and (m := _CANDIDATE.search(b, at, min(len(b), last + LEAST))):
             # the run goes on beyond the reach
             m = _CANDIDATE.match(b, m.start())
             s, e = m.span()
-            done = e
+            at = done = e
             if any(x < e and s < y for x, y in taken):
                 continue
             if _is_novel(b, s, e):
                 found.append((s, 3, e, s))
+                if after := _NEXT.match(b, e):
+                    last = max(last, after.end())
     return found
 
 
