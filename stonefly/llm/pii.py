@@ -44,6 +44,8 @@ _PHONE = re.compile(
 )
 _IP = re.compile(rb"(?<![0-9A-Za-z_.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}" + _END)
 _DATE = re.compile(rb"(?<![0-9A-Za-z_./-])(?:([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?![0-9A-SU-Za-z_]|[-/.][0-9])")
+#: Patterns with the digits that a find has at least, in the order of ``KINDS``.
+_NUMERIC = (("iban", _IBAN, 2), ("card", _CARD, 13), ("ssn", _SSN, 9), ("phone", _PHONE, 8), ("ip", _IP, 4), ("date", _DATE, 6))
 _LOCAL = re.compile(rb"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\Z")
 _DOMAIN = re.compile(rb"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9_])")
 _DAYS = (date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal())
@@ -229,8 +231,9 @@ class Pseudonyms:
 def find(b: bytes, pseudonyms: Pseudonyms) -> list[tuple[int, int, str, bytes]]:
     """Places, kinds and replacements of the valid values of a text; the leftmost of overlapping ones, at one start the longest, counts."""
     found = []
-    if len(b) - len(b.translate(None, b"0123456789")) >= 6:
-        for rank, (kind, pattern) in enumerate((("iban", _IBAN), ("card", _CARD), ("ssn", _SSN), ("phone", _PHONE), ("ip", _IP), ("date", _DATE))):
+    digits = len(b) - len(b.translate(None, b"0123456789"))
+    for rank, (kind, pattern, least) in enumerate(_NUMERIC):
+        if digits >= least:
             found += [(m.start(), -m.end(), rank, kind, new) for m in pattern.finditer(b) if (new := pseudonyms(kind, m[0])) is not None]
     at = b.find(b"@")
     while at >= 0:

@@ -85,6 +85,13 @@ def test_no_two_become_one():
         assert None not in new and len(set(new)) == len(set(days))
 
 
+@pytest.mark.parametrize("value", ["8.8.8.8", "1.1.1.1", "10.0.0.1", "1.2.3.45"])
+def test_few_digits(value):
+    """An address of few digits is replaced whether or not the text has other numbers."""
+    new = rewritten(f"host {value} is up")
+    assert value not in new and rewritten(f"host {value} is up 123456") == f"{new} 123456"
+
+
 def test_adjacent():
     one = rewritten("4111111111111111")
     assert rewritten("4111111111111111 4111111111111111") == f"{one} {one}"
