@@ -42,7 +42,7 @@ _SSN = re.compile(rb"(?<![0-9A-Za-z_.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END)
 _PHONE = re.compile(
     rb"(?<![0-9A-Za-z_.+-])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+(?!1[ .(-]|1[0-9]{10})[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,12}){1,5}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}([-.])[0-9]{3}\1[0-9]{4})" + _END
 )
-_IP = re.compile(rb"(?<![0-9A-Za-z_.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}" + _END)
+_IP = re.compile(rb"(?<![0-9A-Za-z_.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z_]|[-.][0-9])")  # a port or prefix may follow
 _DATE = re.compile(rb"(?<![0-9A-Za-z_./-])(?:([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?![0-9A-SU-Za-z_]|[-/.][0-9])")
 #: Patterns with the digits that a find has at least, in the order of ``KINDS``.
 _NUMERIC = (("iban", _IBAN, 2), ("card", _CARD, 13), ("ssn", _SSN, 9), ("phone", _PHONE, 8), ("ip", _IP, 4), ("date", _DATE, 6))

@@ -92,6 +92,12 @@ def test_few_digits(value):
     assert value not in new and rewritten(f"host {value} is up 123456") == f"{new} 123456"
 
 
+@pytest.mark.parametrize("end", [":8080", "/24", ":443/index", "/8:", ":", "/"])
+def test_address_with_port_or_prefix(end):
+    assert rewritten(f"at 192.168.10.20{end} now") == f"at {rewritten('192.168.10.20')}{end} now" != f"at 192.168.10.20{end} now"
+    assert rewritten(f"http://10.0.0.1{end}") == f"http://{rewritten('10.0.0.1')}{end}"
+
+
 def test_adjacent():
     one = rewritten("4111111111111111")
     assert rewritten("4111111111111111 4111111111111111") == f"{one} {one}"
