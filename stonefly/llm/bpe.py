@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.fs
 import regex
 from pyspark.sql import DataFrame
@@ -36,10 +37,10 @@ NEWER_N = "\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U0001
 CHUNK = 1 << 20
 #: Pieces of up to so many bytes share arrays of trees.
 SHORT = 64
-#: Trees in one array at most.
-TREES = 1 << 15
-#: Pieces in each of the cache's two generations.
-CACHE = 200_000
+#: Leaves of the trees in one array at most.
+LEAVES = 1 << 18
+#: Pieces, of up to ``SHORT`` bytes each, in each of the cache's two generations.
+CACHE = 60_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -173,13 +174,15 @@ class Encoder:
                 by_size.setdefault(max(2, 1 << (len(b) - 1).bit_length()), []).append((p, b))
             else:
                 new.append((p, b))
-        for p, b in new:
-            young[p] = self.merge_long(b)
+        long = {p: self.merge_long(b) for p, b in new}  # not kept: the cache is bounded in bytes
         for width, group in by_size.items():
-            for at in range(0, len(group), TREES):
-                part = group[at : at + TREES]
+            trees = LEAVES // width
+            for at in range(0, len(group), trees):
+                part = group[at : at + trees]
                 for (p, _), ids in zip(part, self.merge_short([b for _, b in part], width), strict=True):
                     young[p] = ids
+        if long:
+            return [list(chain.from_iterable(long[p] if p in long else young[p] for p in t)) for t in texts]
         return [list(chain.from_iterable(map(young.__getitem__, t))) for t in texts]
 
     def merge_short(self, pieces: list[bytes], width: int) -> list[tuple]:
@@ -303,8 +306,10 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text"
     token, shipped = _ship(docs.sparkSession, vocabulary)
 
     def run(c: dict[str, list]) -> dict[str, list]:
-        ids = list(_encoder(token, shipped).encode_texts(c["text"]))
-        return {"doc_id": c["doc_id"], "n_tokens": [len(x) for x in ids], "ids": ids}
+        ids = [np.array(x, np.int32) for x in _encoder(token, shipped).encode_texts(c["text"])]
+        n = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        return {"doc_id": c["doc_id"], "n_tokens": pa.array(n), "ids": pa.ListArray.from_arrays(np.r_[0, np.cumsum(n)].astype(np.int32), pa.array(flat))}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(docs.select("doc_id", F.col(text_col).alias("text")), run, f"doc_id {kind}, n_tokens bigint, ids array<int>", binary=())

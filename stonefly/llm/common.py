@@ -8,12 +8,16 @@ import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: What ``bytes.split()`` splits at is exactly space and \\x09-\\x0D, the separators of words here.
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch that a Python worker turns into objects at once; a longer row is a slice of its own.
+SLICE = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     machine) a temporary folder takes its place and is set as the checkpoint folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = _own.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='stonefly-')}")
     return at.rstrip("/")
@@ -71,20 +75,44 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
-def map_batches(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], schema: T.StructType | str, binary: tuple[str, ...] = ("text",)) -> DataFrame:
-    """Per Arrow batch, ``f`` turns columns (lists) into columns (lists). Columns in ``binary`` come as UTF-8 bytes."""
+def _sizes(col: pa.Array) -> np.ndarray:
+    """Bytes of each value: exact for text, else the mean of the column."""
+    if pa.types.is_string(col.type) or pa.types.is_binary(col.type) or pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type):
+        return pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 8
+    return np.full(len(col), col.nbytes // max(1, len(col)) + 1, np.int64)
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about ``most`` bytes, so that what Python makes of one stays small however large
+    the batches that Spark sends. What a task has freed goes back to the system at its end."""
+    most = most or SLICE
+    for b in batches:
+        if b.num_rows < 2 or b.nbytes <= most:
+            yield b
+            continue
+        upto = np.cumsum(sum(map(_sizes, b.columns)))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, end - at)
+            at = end
+    pa.default_memory_pool().release_unused()
+
+
+def map_batches(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list | pa.Array]], schema: T.StructType | str, binary: tuple[str, ...] = ("text",)) -> DataFrame:
+    """Per slice of an Arrow batch, ``f`` turns columns (lists) into columns (lists or arrays). Columns in ``binary`` come as UTF-8 bytes."""
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for b in batches:
+        for b in slices(batches):
             cols = {}
             for name, col in zip(b.schema.names, b.columns, strict=True):
                 cols[name] = (col.cast(pa.binary()) if name in binary and not pa.types.is_binary(col.type) else col).to_pylist()
             out = f(cols)
-            yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
+            yield pa.RecordBatch.from_arrays([out[x.name] if isinstance(out[x.name], pa.Array) else pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from stonefly.llm.common import slices
+
 #: In the order in which one of two finds with the same place is taken.
 KINDS = ("iban", "card", "ssn", "phone", "ip", "date", "email")
 ROUNDS = 10
@@ -279,7 +281,7 @@ def pseudonymise(docs: DataFrame, key: str | None = None, id_col: str = "doc_id"
 
     def run(batches):
         p = Pseudonyms(secret)
-        for batch in batches:
+        for batch in slices(batches):
             old = batch.column(1).cast(pa.binary()).to_pylist()
             found = [find(b, p) if b else [] for b in old]
             new = [replace(b, f) if f else b for b, f in zip(old, found, strict=True)]

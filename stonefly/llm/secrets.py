@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from stonefly.llm.common import map_batches
+from stonefly.llm.common import map_batches, slices
 
 #: In the order in which kinds sort at equal starts.
 KINDS = ("assign", "access", "hex", "novel")
@@ -189,7 +189,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """Every document with its secrets replaced; ``n_chars`` follows where there is one. Clean rows pass unchanged."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             i = batch.schema.get_field_index("text")
             old = batch.column(i).cast(pa.binary()).to_pylist()
             new = [None if b is None else redact_text(b) for b in old]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stonefly.llm.common import Scratch
+from stonefly.llm.common import Scratch, slices
 
 #: Sentences and words of a span at least; words of a piece of a long sentence at most; one word in so many ends a piece.
 RUN, LEAST_WORDS, PIECE, PICK = 3, 16, 16, 8
@@ -97,26 +97,26 @@ _PLACE = ["h1", "h2", "id", "th", "pos", "len", "later"]
 def _places(run: int, least: int, id_type: pa.DataType):
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+            ids = batch.column(0).to_pylist()
             marks = batch.column(2).to_numpy(zero_copy_only=False)
-            doc, pos, size, hashes = [], [], [], []
-            for d, b in enumerate(texts):
-                found = spans(sentences(b), run, least) if b else []
-                doc.append(np.full(len(found), d))
-                pos += [f[0] for f in found]
-                size += [f[1] for f in found]
-                hashes += [f[2] for f in found]
-            if not hashes:
+            counts, pos, size, hashes = [], [], [], []
+            for part in slices(iter([batch])):
+                found = [spans(sentences(b), run, least) if b else [] for b in part.column(1).cast(pa.binary()).to_pylist()]
+                counts += map(len, found)
+                pos.append(np.array([f[0] for x in found for f in x], np.int32))
+                size.append(np.array([f[1] for x in found for f in x], np.int32))
+                hashes.append(b"".join(f[2] for x in found for f in x))
+            if not any(counts):
                 continue
-            doc = np.concatenate(doc)
+            doc = np.repeat(np.arange(len(counts)), counts)
             # a number for each document in the order of id and text mark; nulls first
             keys = sorted({(i is not None, i if i is not None else 0, int(m)) for i, m in zip(ids, marks, strict=True)})
             number = {k: n for n, k in enumerate(keys)}
             ranks = np.array([number[(i is not None, i if i is not None else 0, int(m))] for i, m in zip(ids, marks, strict=True)])
             h = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-            pos = np.array(pos, np.int32)
+            pos = np.concatenate(pos)
             later = _later(h[:, 0], h[:, 1], ranks[doc], pos)
-            cols = [h[:, 0].copy(), h[:, 1].copy(), pa.array(ids, id_type).take(pa.array(doc)), marks[doc], pos, np.array(size, np.int32), later]
+            cols = [h[:, 0].copy(), h[:, 1].copy(), pa.array(ids, id_type).take(pa.array(doc)), marks[doc], pos, np.concatenate(size), later]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=_PLACE)
 
     return places
@@ -189,7 +189,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.StringType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             old = batch.column(1).cast(pa.binary()).to_pylist()
             text, total, gone, removed = [], [], [], []
             for b, c in zip(old, batch.column(2).to_pylist(), strict=True):

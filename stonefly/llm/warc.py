@@ -29,7 +29,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stonefly.llm.common import Scratch, remove
+from stonefly.llm.common import Scratch, remove, slices
 
 #: Compressed bytes of a file, about; payload bytes of a shard: a 64th of all between these bounds; bins that a heavy one is cut into.
 FILE_BYTES, SHARD_BYTES, SHARDS, SPLIT = 256 << 20, (8 << 20, 4 << 30), 64, 64
@@ -229,7 +229,7 @@ def write(pages: DataFrame, root: str, file_bytes: int = FILE_BYTES) -> DataFram
     both = own.join(tops, same, "left").select("page_id", "url", "payload", "sha1", "top")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, urls, payloads, digests, top = (c.to_pylist() for c in b.columns)
             out = [page_member(i, u, p, t, t is not None and i != t) for i, u, p, t in zip(ids, urls, payloads, top, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(shards.of(ids, digests).astype(np.int32)), b.column(0), b.column(3), pa.array(out, pa.binary())], names=["shard", "page_id", "sha1", "member"])
