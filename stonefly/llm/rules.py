@@ -3,11 +3,12 @@
 Each measure of a text goes into a quantile sketch of its language and source:
 counts of logarithmic buckets, of relative error ``ERROR``. Sketches merge by
 adding counts, so partitions pre-aggregate them, and those of a language and of
-all documents are sums of the finer ones. A measure's fences are its median
-plus or minus ``WIDTH`` times the distance to the quartile on that side, and
-``SLACK`` at least where a measure hardly varies; a group of fewer than
-``GROUP`` documents takes the fences of its language, or those of all. The
-fences are joined back to the documents, and one outside any of them goes.
+all documents are sums of the finer ones. A measure's fence lies ``factor`` times
+as far from the median as a far quantile of the same sketch, so its height and
+its width both come from the group; ``floor`` is a numerical least for measures
+that are zero nearly everywhere. A group of fewer than ``GROUP`` documents takes
+the fences of its language, or those of all. The fences are joined back to the
+documents, and one outside any of them goes.
 """
 
 from __future__ import annotations
@@ -25,17 +26,21 @@ from stonefly.llm.common import Scratch, map_batches
 SYMBOLS = b"#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 ERROR, LEAST = 0.01, 1e-4
-WIDTH, GROUP = 4.0, 200
-#: Measures with the least distance of their fences from the median: below (none: no lower fence) and above.
-SLACK = {
-    "mean_word": (1.5, 3.0),
-    "symbol_share": (None, 0.15),
-    "bang_share": (None, 0.15),
-    "upper_share": (None, 0.15),
-    "digit_share": (None, 0.3),
-    "dup_line_share": (None, 0.5),
-    "repeat_share": (None, 0.2),
+GROUP = 200
+#: Measures with their tails: the quantile below the median and the factor of its distance (None: no lower fence), the same
+#: above, and the least distance of a fence, to which twice the sketch's error at the median is added.
+TAILS = {
+    "mean_word": ((0.1, 4.0), (0.9, 4.0), 0.05),
+    "symbol_share": (None, (0.85, 4.0), 0.02),
+    "bang_share": (None, (0.85, 4.0), 0.02),
+    "upper_share": (None, (0.98, 3.0), 0.005),
+    "digit_share": (None, (0.99, 3.0), 0.005),
+    "dup_line_share": (None, (0.99, 2.0), 0.02),
+    "repeat_share": (None, (0.99, 1.5), 0.02),
 }
+#: Each quantile that some tail asks for, and the median, under the name of its column.
+QUANTILES = {f"q{q * 100:g}".replace(".", "_"): q for q in sorted({0.5, *(t[0] for low, high, _ in TAILS.values() for t in (low, high) if t)})}
+_COLUMN = {q: name for name, q in QUANTILES.items()}
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 
@@ -58,12 +63,12 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
 
 
 def measure(text: bytes | None) -> tuple[int, int, int, int, int, list[float]]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of the whole text, and the measures of ``SLACK`` in turn."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of the whole text, and the measures of ``TAILS`` in turn."""
     text = text or b""
     words = text.split()
     n = len(words)
     if not n:
-        return 0, 0, sum(map(text.count, (bytes([c]) for c in SYMBOLS))), 0, 0, [0.0] * len(SLACK)
+        return 0, 0, sum(map(text.count, (bytes([c]) for c in SYMBOLS))), 0, 0, [0.0] * len(TAILS)
     counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     chars = int(len(text) - counts[128:192].sum() - counts[9:14].sum() - counts[32])
     symbols = int(counts[list(SYMBOLS)].sum())
@@ -119,15 +124,16 @@ def quantiles(sketch: DataFrame, keys: list[str], at: dict[str, float]) -> DataF
 
 def fences(sketch: DataFrame) -> DataFrame:
     """``lang``, ``source``, ``low``, ``high`` (arrays in the order of the measures) from sketches of language and source."""
-    at = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
     def level(keys: list[str], name: str) -> DataFrame:
-        q = quantiles(merge(sketch, keys), keys, at)
-        below = F.element_at(F.array(*[F.lit(s[0]).cast("double") for s in SLACK.values()]), F.col("measure") + 1)
-        above = F.element_at(F.array(*[F.lit(s[1]).cast("double") for s in SLACK.values()]), F.col("measure") + 1)
-        low = F.col("q50") - F.greatest(below, WIDTH * (F.col("q50") - F.col("q25")))
-        high = F.col("q50") + F.greatest(above, WIDTH * (F.col("q75") - F.col("q50")))
-        low = F.when(below.isNull(), F.lit(float("-inf"))).otherwise(low)
+        q = quantiles(merge(sketch, keys), keys, QUANTILES)
+        low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
+        for i, (below, above, floor) in enumerate(TAILS.values()):
+            own, least = F.col("measure") == i, floor + 2 * ERROR * F.col("q50")
+            high = F.when(own, F.col("q50") + F.greatest(least, above[1] * (F.col(_COLUMN[above[0]]) - F.col("q50")))).otherwise(high)
+            if below:
+                low = F.when(own, F.col("q50") - F.greatest(least, below[1] * (F.col("q50") - F.col(_COLUMN[below[0]])))).otherwise(low)
+        low = F.coalesce(low, F.lit(float("-inf")))
         rows = F.sort_array(F.collect_list(F.struct("measure", low.alias("low"), high.alias("high"))))
         return q.groupBy(*keys, "size").agg(rows.alias("f")).select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.col("size").alias(f"{name}_size"), F.col("f").alias(name))
 
@@ -152,19 +158,21 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     sketch = scratch.cut(sketches(rows.filter("not base_failed"), ["lang", "source"], F.col("m")))
     known = scratch.cut(fences(sketch))
     both = rows.join(known, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
-    names = F.array(*map(F.lit, SLACK))
+    names = F.array(*map(F.lit, TAILS))
     out = F.filter(F.transform(F.arrays_zip("m", "low", "high", names.alias("name")), lambda x: F.when((x["m"] < x["low"]) | (x["m"] > x["high"]), x["name"])), lambda x: x.isNotNull())
     outside = F.when(F.col("base_failed"), F.lit("")).otherwise(F.array_join(out, ","))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return both.select(*base, (~F.col("base_failed") & (outside == "")).alias("kept"), outside.alias("outside"))
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that ``judge`` keeps, with all their columns. Rows that share an id stay only if all are kept; those without one go by their text."""
-    key = F.when(docs[id_col].isNull(), F.xxhash64("text")).otherwise(F.xxhash64(docs[id_col]))
-    keyed = docs.withColumn("_key", key)
-    bad = Scratch(docs.sparkSession).cut(judge(keyed, "_key").filter("not kept").select("doc_id").distinct())
-    return keyed.join(bad, F.col("_key") == bad["doc_id"], "left_anti").select(*docs.columns)
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns. Rows that share an id stay only if all are kept; those
+    without one go by their text. Null and empty texts go, as they fail the base rules; further columns, whatever their
+    names, pass unchanged; no rows give no rows."""
+    of = lambda c: F.when(c[id_col].isNull(), F.xxhash64(c[text_col])).otherwise(F.xxhash64(c[id_col]))
+    narrow = docs.select(of(docs).alias("doc_id"), F.col("lang"), F.col("source"), F.col(text_col).alias("text"))
+    bad = Scratch(docs.sparkSession).cut(judge(narrow).filter("not kept").select(F.col("doc_id").alias("bad_key")).distinct())
+    return docs.join(bad, of(docs) == bad["bad_key"], "left_anti")
 
 
 def _sql() -> str:
@@ -173,17 +181,18 @@ def _sql() -> str:
     strip = lambda chars: f"(length(text) - length(regexp_replace(text, '{chars}', '', 'g')))"
     shares = ["word_chars / n_words", "n_symbols / n_words", "bangs / n_words", "uppers / word_chars", "digits / word_chars", "n_dup_lines / n_lines", "n_repeat_words / n_words"]
     measures = "\n  UNION ALL ".join(f"SELECT doc_id, lang, source, {i} AS k, {x} AS x FROM b WHERE NOT base_failed" for i, x in enumerate(shares))
-    slack = ", ".join(f"({i}, '{n}', {'NULL' if lo is None else lo}, {hi})" for i, (n, (lo, hi)) in enumerate(SLACK.items()))
+    null = lambda tail: ("NULL", "NULL") if tail is None else tail
+    tails = ", ".join(f"({i}, '{n}', {null(lo)[0]}, {null(lo)[1]}, {hi[0]}, {hi[1]}, {floor})" for i, (n, (lo, hi, floor)) in enumerate(TAILS.items()))
 
     def level(name: str, keys: str) -> str:
         by = f"{keys}, k" if keys else "k"
-        at = ", ".join(f"min(bucket) FILTER (upto >= {q} * size) AS b{n}" for n, q in (("25", 0.25), ("50", 0.5), ("75", 0.75)))
-        v = lambda n: f"CASE WHEN b{n} = 0 THEN 0.0::DOUBLE ELSE 2 * {LEAST!r}::DOUBLE * pow({g!r}::DOUBLE, b{n} - 1) / {g + 1!r}::DOUBLE END AS q{n}"
+        at = lambda q: f"min(bucket) FILTER (upto >= {q} * size)"
+        v = lambda n: f"CASE WHEN {n} = 0 THEN 0.0::DOUBLE ELSE 2 * {LEAST!r}::DOUBLE * pow({g!r}::DOUBLE, {n} - 1) / {g + 1!r}::DOUBLE END"
         return f"""{name}_c AS (SELECT {by}, bucket, count(*) AS n FROM z GROUP BY ALL),
 {name}_u AS (SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by}) AS size, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto FROM {name}_c),
-{name}_q AS (SELECT {by}, size, {at} FROM {name}_u GROUP BY {by}, size),
-{name} AS (SELECT {by}, size, q50 - greatest(below, {WIDTH} * (q50 - q25)) AS low_raw, q50 + greatest(above, {WIDTH} * (q75 - q50)) AS high
-  FROM (SELECT *, {v("25")}, {v("50")}, {v("75")} FROM {name}_q) JOIN slack USING (k))"""
+{name}_b AS (SELECT {by}, size, lf, hf, floor, {at("lq")} AS b_lo, {at("0.5")} AS b_mid, {at("hq")} AS b_hi FROM {name}_u JOIN tails USING (k) GROUP BY ALL),
+{name}_q AS (SELECT *, {v("b_lo")} AS lo, {v("b_mid")} AS mid, {v("b_hi")} AS hi FROM {name}_b),
+{name} AS (SELECT {by}, size, mid - greatest(floor + {2 * ERROR!r} * mid, lf * (mid - lo)) AS low_raw, mid + greatest(floor + {2 * ERROR!r} * mid, hf * (hi - mid)) AS high FROM {name}_q)"""
 
     return f"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -197,15 +206,15 @@ a AS (SELECT c.*, coalesce(n, 0) AS n_repeat_words FROM c LEFT JOIN (SELECT doc_
 b AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM a),
 m AS ({measures}),
 z AS (SELECT *, CASE WHEN x < {LEAST!r} THEN 0 ELSE ceil(ln(x / {LEAST!r}::DOUBLE) / {math.log(g)!r}::DOUBLE) + 1 END AS bucket FROM m),
-slack(k, name, below, above) AS (VALUES {slack}),
+tails(k, name, lq, lf, hq, hf, floor) AS (VALUES {tails}),
 {level("fine", "lang, source")},
 {level("wide", "lang")},
 {level("whole", "")},
-f AS (SELECT m.doc_id, m.k, slack.name, m.x, CASE WHEN fine.size >= {GROUP} THEN fine.low_raw WHEN wide.size >= {GROUP} THEN wide.low_raw ELSE whole.low_raw END AS low,
-    CASE WHEN fine.size >= {GROUP} THEN fine.high WHEN wide.size >= {GROUP} THEN wide.high ELSE whole.high END AS high, slack.below
+f AS (SELECT m.doc_id, m.k, tails.name, m.x, CASE WHEN fine.size >= {GROUP} THEN fine.low_raw WHEN wide.size >= {GROUP} THEN wide.low_raw ELSE whole.low_raw END AS low,
+    CASE WHEN fine.size >= {GROUP} THEN fine.high WHEN wide.size >= {GROUP} THEN wide.high ELSE whole.high END AS high, tails.lq
   FROM m JOIN fine ON m.lang IS NOT DISTINCT FROM fine.lang AND m.source IS NOT DISTINCT FROM fine.source AND m.k = fine.k
-  JOIN wide ON m.lang IS NOT DISTINCT FROM wide.lang AND m.k = wide.k JOIN whole ON m.k = whole.k JOIN slack ON m.k = slack.k),
-v AS (SELECT doc_id, string_agg(name, ',' ORDER BY k) AS outside FROM f WHERE below IS NOT NULL AND x < low OR x > high GROUP BY doc_id)
+  JOIN wide ON m.lang IS NOT DISTINCT FROM wide.lang AND m.k = wide.k JOIN whole ON m.k = whole.k JOIN tails ON m.k = tails.k),
+v AS (SELECT doc_id, string_agg(name, ',' ORDER BY k) AS outside FROM f WHERE lq IS NOT NULL AND x < low OR x > high GROUP BY doc_id)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
   base_failed, NOT base_failed AND outside IS NULL AS kept, coalesce(outside, '') AS outside
 FROM b LEFT JOIN v USING (doc_id)"""

@@ -71,19 +71,53 @@ def test_adapts(spark):
     assert got[5002].kept
 
 
+def test_no_fixed_cutoff_agrees(spark):
+    """Two unlike sources: what is usual in one is out of bounds in the other, both ways, so no cutoff common to both gives
+    these verdicts; and most fences stand where a sketch puts them, not at the floor."""
+    rng = np.random.default_rng(4)
+
+    def text(size, marks, n=80):
+        return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, max(1, int(rng.normal(size, 1))))) + ("#" if rng.random() < marks else "") for _ in range(n))
+
+    rows = [(i, text(4, 0.4), "en", "code", 0, "") for i in range(300)] + [(1000 + i, text(9, 0.02), "en", "law", 0, "") for i in range(300)]
+    rows += [(5000, text(9, 0.02), "en", "code", 0, ""), (5001, text(4, 0.02), "en", "law", 0, ""), (5002, text(9, 0.4), "en", "law", 0, "")]
+    docs = docs_of(spark, rows)
+    got = {r.doc_id: r for r in rules.judge(docs).collect()}
+    assert sum(not r.kept for i, r in got.items() if i < 5000) <= 6
+    assert "mean_word" in got[5000].outside and "mean_word" in got[5001].outside and got[5002].outside == "symbol_share"
+    known = {r.f_source: r for r in rules.fences(rules.sketches(rules.measured(docs), ["lang", "source"], F.col("m"))).collect()}
+    code, law = known["code"], known["law"]
+    # mean word: the upper fence of one is under the lower fence of the other
+    assert code.high[0] < law.low[0] and law.high[1] < code.high[1] / 2
+    m = {s: np.array([rules.measure(t.encode())[5] for _, t, _, x, _, _ in rows if x == s]) for s in ("code", "law")}
+    by_sketch = 0
+    for s, f in known.items():
+        for i, (_, (q, factor), floor) in enumerate(rules.TAILS.values()):
+            x = np.sort(m[s][:, i])
+            far, mid = x[int(np.ceil(q * len(x))) - 1], x[(len(x) + 1) // 2 - 1]
+            if factor * (far - mid) > floor + 4 * rules.ERROR * max(mid, far):
+                by_sketch += 1
+                assert abs(f.high[i] - (mid + factor * (far - mid))) <= factor * rules.ERROR * (far + mid) + 0.01
+    assert by_sketch >= 4
+
+
 def test_edges(spark):
     rows = [(i, t, None if i % 2 else "en", None if i % 3 else "s", i, None) for i, t in enumerate(EDGES)] + [(None, "w " * 30_000, None, None, 1, "k"), (3, "one", None, "s", 3, None)]
+    rows += [(100 + i, " ".join(f"w{chr(97 + (i * j) % 26)}{chr(97 + j)}xy" for j in range(26)), "en", "s", i, None) for i in range(40)]
     docs = docs_of(spark, rows)
     got = rules.judge(docs).collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and sum(r.kept for r in got) > 20
     for r in got:
-        if r.doc_id not in (None, 3):
+        if r.doc_id is not None and r.doc_id != 3 and r.doc_id < 100:
             want = plain(EDGES[r.doc_id])
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
             assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (r.base_failed and r.kept)
     assert rules.judge(docs.limit(0)).collect() == []
     kept = rules.keep(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept}
+    clash = docs.withColumns({"_key": F.lit("mine"), "bad_key": F.lit("own")})
+    assert {(r._key, r.bad_key) for r in rules.keep(clash).collect()} == {("mine", "own")}
+    assert rules.keep(docs.limit(0)).collect() == []
 
 
 def test_table(spark):
