@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import date
 
 import pyarrow as pa
@@ -48,7 +48,10 @@ _IP = re.compile(rb"(?<![0-9A-Za-z_.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-
 _DATE = re.compile(rb"(?<![0-9A-Za-z_./-])(?:([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?![0-9A-SU-Za-z_]|[-/.][0-9])")
 #: Patterns with the digits that a find has at least, in the order of ``KINDS``.
 _NUMERIC = (("iban", _IBAN, 2), ("card", _CARD, 13), ("ssn", _SSN, 9), ("phone", _PHONE, 8), ("ip", _IP, 4), ("date", _DATE, 6))
-_LOCAL = re.compile(rb"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\Z")
+_LOCAL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_LOCAL_FIRST = re.compile(rb"[A-Za-z0-9]")
+#: Characters of a local part that are permuted together; a longer one is taken in such pieces.
+_TOGETHER = 64
 _DOMAIN = re.compile(rb"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9_])")
 _DAYS = (date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal())
 
@@ -217,17 +220,48 @@ class Pseudonyms:
 
     def email(self, s: str) -> str | None:
         local, _, domain = s.rpartition("@")
+        pieces = [local[i : i + _TOGETHER] for i in range(0, len(local), _TOGETHER)]
+        return "".join(self._local(p, f"{i or ''}", domain) for i, p in enumerate(pieces)) + f"@{domain}"
+
+    def _local(self, local: str, place: str, domain: str) -> str:
         sizes = [10 if c.isdigit() else 26 if c.isalpha() else 1 for c in local]
         x = 0
         for c, n in zip(local, sizes, strict=True):
             x = x * n + (int(c) if n == 10 else ord(c.lower()) - 97 if n == 26 else 0)
-        x = self.permute(f"email{''.join('09' if n == 10 else 'a' if n == 26 else c for c, n in zip(local, sizes, strict=True))}@{domain.lower()}", math.prod(sizes), x)
+        x = self.permute(f"email{place}{''.join('09' if n == 10 else 'a' if n == 26 else c for c, n in zip(local, sizes, strict=True))}@{domain.lower()}", math.prod(sizes), x)
         out = []
         for c, n in zip(reversed(local), reversed(sizes), strict=True):
             x, digit = divmod(x, n)
             new = str(digit) if n == 10 else chr(97 + digit) if n == 26 else c
             out.append(new.upper() if c.isupper() else new)
-        return f"{''.join(reversed(out))}@{domain}"
+        return "".join(reversed(out))
+
+
+def _local_start(b: bytes, at: int) -> int | None:
+    """Where the local part that ends before ``at`` starts, however long it is."""
+    low, step = at, 64
+    while low:
+        part = b[max(0, low - step) : low]
+        run = len(part) - len(part.rstrip(_LOCAL))
+        low, step = low - run, 2 * step
+        if run < len(part):
+            break
+    first = _LOCAL_FIRST.search(b, low, at)
+    return first.start() if first else None
+
+
+def _valid(kind: str, pattern: re.Pattern, b: bytes, pseudonyms: Pseudonyms) -> Iterator[tuple[int, int, bytes]]:
+    """Start, end and replacement of the valid values of one kind. An invalid match hides nothing that starts within it."""
+    at = 0
+    while m := pattern.search(b, at):
+        start, end = m.span()
+        new = pseudonyms(kind, m[0])
+        if new is None and kind == "iban":  # words in capitals after it may look like more of it
+            while new is None and (end := b.rfind(b" ", start, end)) >= 0:
+                new = pseudonyms(kind, b[start:end])
+        if new is not None:
+            yield start, end, new
+        at = start + 1 if new is None else end
 
 
 def find(b: bytes, pseudonyms: Pseudonyms) -> list[tuple[int, int, str, bytes]]:
@@ -236,11 +270,11 @@ def find(b: bytes, pseudonyms: Pseudonyms) -> list[tuple[int, int, str, bytes]]:
     digits = len(b) - len(b.translate(None, b"0123456789"))
     for rank, (kind, pattern, least) in enumerate(_NUMERIC):
         if digits >= least:
-            found += [(m.start(), -m.end(), rank, kind, new) for m in pattern.finditer(b) if (new := pseudonyms(kind, m[0])) is not None]
+            found += [(start, -end, rank, kind, new) for start, end, new in _valid(kind, pattern, b, pseudonyms)]
     at = b.find(b"@")
     while at >= 0:
-        if (left := _LOCAL.search(b, max(0, at - 64), at)) and (right := _DOMAIN.match(b, at + 1)):
-            found.append((left.start(), -right.end(), len(KINDS), "email", pseudonyms("email", b[left.start() : right.end()])))
+        if (right := _DOMAIN.match(b, at + 1)) and (start := _local_start(b, at)) is not None:
+            found.append((start, -right.end(), len(KINDS), "email", pseudonyms("email", b[start : right.end()])))
         at = b.find(b"@", at + 1)
     out, done = [], 0
     for start, end, _, kind, new in sorted(found):

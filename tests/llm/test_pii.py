@@ -3,6 +3,8 @@ import re
 from datetime import date
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from stonefly.llm import pii
 
@@ -98,6 +100,70 @@ def test_address_with_port_or_prefix(end):
     assert rewritten(f"http://10.0.0.1{end}") == f"http://{rewritten('10.0.0.1')}{end}"
 
 
+def plain_find(b, p):
+    """Every kind tried at every place, without any shortcut; e-mail addresses by walking back over single characters."""
+    found = []
+    for i in range(len(b)):
+        for rank, (kind, pattern, _) in enumerate(pii._NUMERIC):
+            m = pattern.match(b, i)
+            ends = [m.end()] if m else []
+            if m and kind == "iban":
+                ends += [e for e in range(m.end() - 1, i, -1) if b[e : e + 1] == b" "]
+            for e in ends:
+                if (new := p(kind, b[i:e])) is not None:
+                    found.append((i, -e, rank, kind, new))
+                    break
+        if b[i : i + 1] == b"@" and (right := pii._DOMAIN.match(b, i + 1)):
+            s = i
+            while s and chr(b[s - 1]) in "._%+-" or s and b[s - 1 : s].isalnum():
+                s -= 1
+            while s < i and not b[s : s + 1].isalnum():
+                s += 1
+            if s < i:
+                found.append((s, -right.end(), len(pii.KINDS), "email", p("email", b[s : right.end()])))
+    out, done = [], 0
+    for start, end, _, kind, new in sorted(found):
+        if start >= done:
+            out.append((start, -end, kind, new))
+            done = -end
+    return out
+
+
+PARTS = [
+    "4111 1111 1111 1111", "4111111111111111", "1234", "12", " ", " ", " ", "-", ".", "/", ":", "+1 (743) 555-3824", "+49 30 123456", "123-45-6789", "8.8.8.8", "10.0.0.256", "2024-02-29", "31/12/1999", "2023.1.7",
+    "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "CODE", "AB", "x", "é", "a.b-c@mail.example.com", "@", "q" * 70, "_", "user", "@b.org", "\n", "0", "(", ")",
+]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=14).map("".join))
+def test_against_brute_force(text):
+    p = pii.Pseudonyms("k")
+    b = text.encode()
+    assert pii.find(b, p) == plain_find(b, p)
+
+
+def test_table_against_brute_force():
+    import duckdb
+
+    p = pii.Pseudonyms("k")
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+    finds = [pii.find(t.encode(), p) for t in texts]
+    assert finds == [plain_find(t.encode(), p) for t in texts] and any(finds)
+
+
+def test_nothing_hides():
+    """A value stands where other digits or capitals run up to it, and a local part is taken as a whole however long."""
+    assert "4111 1111 1111 1111" not in rewritten("order 1234 4111 1111 1111 1111 end")
+    assert rewritten("GB82 WEST 1234 5698 7654 32 CODE") == rewritten("GB82 WEST 1234 5698 7654 32") + " CODE"
+    for n in (63, 64, 65, 80, 400):
+        a, b = "abcdefgh" * n, "abcdefgh" * n
+        one = rewritten(f"mail {a[:n]}@b.org now")
+        assert one == f"mail {rewritten(b[:n] + '@b.org')} now" and len(one) == n + 15
+        new = one[5 : 5 + n]
+        assert sum(x == y for x, y in zip(new, a, strict=False)) < n / 4
+
+
 def test_adjacent():
     one = rewritten("4111111111111111")
     assert rewritten("4111111111111111 4111111111111111") == f"{one} {one}"
