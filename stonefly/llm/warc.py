@@ -7,16 +7,20 @@ is one gzip member, compressed before the exchange, so a shard's writer only
 sorts, appends and rolls to the next file by compressed size. The same pages
 give the same files, byte for byte, whatever the cluster.
 
-A task writes under a temporary name of its own attempt. The rows that the job
-returns, and so only those of attempts that count, make the manifest; the files
-that it names are moved into place, and the published manifest is the commit.
-Readers open nothing that it does not name. Each step can be run again.
+A write has a folder, a generation, of its own, and a task writes there under a
+temporary name of its own attempt. The rows that the job returns, and so only
+those of attempts that count, make the generation's manifest, and the files that
+it names are moved into place. One small file that names the generation is the
+commit: it appears whole under the next free number or not at all, so readers
+see the last whole archive whatever happens to a later write. They open nothing
+that its manifest does not name, and compare size, records and hash with it.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import uuid
 import zlib
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stonefly.llm.common import Scratch, remove, slices
+from stonefly.sources.publish import names, publish, read_bytes
 
 #: Compressed bytes of a file, about; payload bytes of a shard: a 64th of all between these bounds; bins that a heavy one is cut into.
 FILE_BYTES, SHARD_BYTES, SHARDS, SPLIT = 256 << 20, (8 << 20, 4 << 30), 64, 64
@@ -37,6 +42,7 @@ FILE_BYTES, SHARD_BYTES, SHARDS, SPLIT = 256 << 20, (8 << 20, 4 << 30), 64, 64
 LEAST_REVISIT = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+COMMIT, GENERATION = "_commit-", "generation-"
 MANIFEST = "name string, at string, bytes bigint, records bigint, sha256 string"
 _BAD = re.compile(r"[\x00-\x20\x7f]")
 
@@ -208,8 +214,13 @@ def _publisher(root: str):
     return run
 
 
+def _commits(spark: SparkSession, root: str) -> list[int]:
+    return sorted(int(n.removeprefix(COMMIT)) for n in names(spark, root) if n.startswith(COMMIT))
+
+
 def write(pages: DataFrame, root: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Archive ``page_id``, ``url``, ``html`` under ``root``, a URI that executors can write to; returns the manifest.
+    An archive that was there before stays until ``vacuum`` and is what readers see until this one is committed.
 
     A null html is an empty payload; a null url is replaced by one made from the id. Of equal payloads of
     ``LEAST_REVISIT`` bytes and more the row with the largest id is the response; rows that share that id are
@@ -217,6 +228,8 @@ def write(pages: DataFrame, root: str, file_bytes: int = FILE_BYTES) -> DataFram
     ignored; no rows give an empty manifest.
     """
     spark, scratch = pages.sparkSession, Scratch(pages.sparkSession)
+    generation = f"{GENERATION}{uuid.uuid4().hex[:12]}"
+    at = f"{root}/{generation}"
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     own = own.withColumns({"n": F.octet_length("payload").cast("bigint"), "sha1": F.sha1("payload"), "more": F.xxhash64("payload")})
@@ -236,16 +249,51 @@ def write(pages: DataFrame, root: str, file_bytes: int = FILE_BYTES) -> DataFram
 
     dealt = both.mapInArrow(members, "shard int, page_id bigint, sha1 string, member binary").repartitionById(shards.n, F.col("shard"))
     # equal ids and digests are equal members, or a response among revisits of its id, so the member ends the order
-    rows = dealt.sortWithinPartitions("shard", "page_id", "sha1", F.xxhash64("member")).mapInArrow(_writer(root, file_bytes), MANIFEST)
-    rows.write.mode("overwrite").parquet(f"{root}/_files")
-    files = spark.read.schema(MANIFEST).parquet(f"{root}/_files")
-    files.mapInArrow(_publisher(root), MANIFEST).select("name", "bytes", "records", "sha256").write.mode("overwrite").json(f"{root}/_manifest")
-    remove(spark, f"{root}/_temporary")
-    return manifest(spark, root)
+    rows = dealt.sortWithinPartitions("shard", "page_id", "sha1", F.xxhash64("member")).mapInArrow(_writer(at, file_bytes), MANIFEST)
+    rows.write.parquet(f"{at}/_files")
+    files = spark.read.schema(MANIFEST).parquet(f"{at}/_files")
+    files.mapInArrow(_publisher(at), MANIFEST).select("name", "bytes", "records", "sha256").write.json(f"{at}/_manifest")
+    total = _totals(_listed(spark, at))
+    remove(spark, f"{at}/_temporary")
+    turn = max(_commits(spark, root), default=0) + 1
+    while not publish(spark, f"{root}/{COMMIT}{turn:012d}", json.dumps({"generation": generation} | total).encode()):
+        turn += 1  # another write took the number
+    return manifest(spark, root, turn)
+
+
+def _listed(spark: SparkSession, at: str) -> DataFrame:
+    return spark.read.schema("name string, bytes bigint, records bigint, sha256 string").json(f"{at}/_manifest")
+
+
+def _totals(files: DataFrame) -> dict[str, int]:
+    r = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("records"), F.lit(0)).alias("records")).first()
+    return r.asDict()
+
 
+def current(spark: SparkSession, root: str, turn: int | None = None) -> dict:
+    """The last commit, or that of a number: its generation, and how many files, bytes and records it has."""
+    turn = turn or max(_commits(spark, root), default=None)
+    if turn is None:
+        raise FileNotFoundError(f"no archive is committed under {root}")
+    return json.loads(read_bytes(spark, f"{root}/{COMMIT}{turn:012d}"))
 
-def manifest(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema("name string, bytes bigint, records bigint, sha256 string").json(f"{root}/_manifest")
+
+def manifest(spark: SparkSession, root: str, turn: int | None = None) -> DataFrame:
+    """``name``, ``bytes``, ``records``, ``sha256`` of each file of the last commit; a manifest that lost rows is an error."""
+    own = current(spark, root, turn)
+    files = _listed(spark, f"{root}/{own['generation']}")
+    if _totals(files) != {k: own[k] for k in ("files", "bytes", "records")}:
+        raise ValueError(f"the manifest of {own['generation']} is not the one that was committed")
+    return files
+
+
+def vacuum(spark: SparkSession, root: str) -> None:
+    """Drop all commits but the last, and the generations, those of broken writes too, that it does not name."""
+    turns = _commits(spark, root)
+    kept = {f"{COMMIT}{turns[-1]:012d}", current(spark, root)["generation"]} if turns else set()
+    for n in names(spark, root):
+        if n not in kept and (n.startswith((COMMIT, GENERATION, "_draft-"))):
+            remove(spark, f"{root}/{n}")
 
 
 def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -273,38 +321,53 @@ def read(spark: SparkSession, root: str, with_payload: bool = False) -> DataFram
     """One row for each response and revisit under ``root``: ``page_id``, ``payload_bytes``, ``payload_digest`` (hex),
     ``record_type``, ``refers_to``, ``url``, ``archive``, and ``payload`` if asked for (null for revisits).
 
-    Block and payload digests are computed again and must agree with the headers.
+    Block and payload digests are computed again and must agree with the headers, and each file with its size, records
+    and hash in the manifest.
     """
+    own = current(spark, root)
+    folder = f"{root}/{own['generation']}"
     kinds = {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint", "url": "string", "archive": "string"} | ({"payload": "binary"} if with_payload else {})
     arrow = pa.schema([(k, {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[v]) for k, v in kinds.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pyarrow.fs.FileSystem.from_uri(root)
+        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+
+        def rows(name: str, known: tuple) -> Iterator[list]:
+            sha, size, n = hashlib.sha256(), 0, 0
+
+            def chunks(f) -> Iterator[bytes]:
+                nonlocal size
+                while chunk := f.read(1 << 20):
+                    sha.update(chunk)
+                    size += len(chunk)
+                    yield chunk
 
-        def rows(name: str) -> Iterator[list]:
             with fs.open_input_stream(f"{base}/{name}", compression=None) as f:
-                for h, block in records(iter(lambda: f.read(1 << 20), b"")):
+                for h, block in records(chunks(f)):
                     if h["warc-type"] == "warcinfo":
                         continue
+                    n += 1
                     if _base32(hashlib.sha1(block).digest()) != h["warc-block-digest"]:
                         raise ValueError(f"block digest of {h['warc-record-id']}")
                     http, _, payload = block.partition(b"\r\n\r\n")
                     revisit = h["warc-type"] == "revisit"
-                    size = int(re.search(rb"\r\nContent-Length: (\d+)", http)[1])
-                    if not revisit and (len(payload) != size or _base32(hashlib.sha1(payload).digest()) != h["warc-payload-digest"]):
+                    length = int(re.search(rb"\r\nContent-Length: (\d+)", http)[1])
+                    if not revisit and (len(payload) != length or _base32(hashlib.sha1(payload).digest()) != h["warc-payload-digest"]):
                         raise ValueError(f"payload digest of {h['warc-record-id']}")
                     digest = base64.b32decode(h["warc-payload-digest"][5:]).hex()
                     to = page_of(h["warc-refers-to"][10:-1]) if revisit else None
-                    row = [page_of(h["warc-record-id"][10:-1]), size, digest, h["warc-type"], to, h["warc-target-uri"], name]
+                    row = [page_of(h["warc-record-id"][10:-1]), length, digest, h["warc-type"], to, h["warc-target-uri"], name]
                     yield [*row, None if revisit else payload] if with_payload else row
+            if (size, n, sha.hexdigest()) != known:
+                raise ValueError(f"{name} is not the file of the manifest")
 
         def batch(held: list[list]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), arrow.types, strict=True)], schema=arrow)
 
         for b in batches:
-            for name in b.column(0).to_pylist():
+            for name, *known in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held, size = [], 0
-                for r in rows(name):
+                for r in rows(name, tuple(known)):
                     held.append(r)
                     size += r[1] if with_payload else 1
                     if len(held) >= 10_000 or with_payload and size >= 16 << 20:
@@ -313,10 +376,8 @@ def read(spark: SparkSession, root: str, with_payload: bool = False) -> DataFram
                 if held:
                     yield batch(held)
 
-    files = manifest(spark, root).select("name")
-    n = files.count()
     # each file is a task's work
-    numbered = files.repartition(max(1, min(n, 10_000)))
+    numbered = manifest(spark, root).select("name", "bytes", "records", "sha256").repartition(max(1, min(own["files"], 10_000)))
     return numbered.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))
 
 

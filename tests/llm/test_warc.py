@@ -41,7 +41,7 @@ def result(df):
 
 
 def files(tmp_path, name="w"):
-    return {p.name: p.read_bytes() for p in (tmp_path / name).glob("*.warc.gz")}
+    return {p.name: p.read_bytes() for p in (tmp_path / name).glob("generation-*/*.warc.gz")}
 
 
 def test_round_trip(spark, tmp_path):
@@ -55,7 +55,7 @@ def test_round_trip(spark, tmp_path):
         assert r.url == {7: "urn:page:7", 8: "urn:page:8", 3: "http://a/3%20x%0A"}.get(r.page_id, next(u for i, u, _ in ROWS if i == r.page_id))
     stored = files(tmp_path)
     assert {r.name: (r.bytes, r.sha256) for r in m.collect()} == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in stored.items()}
-    assert not (tmp_path / "w/_temporary").exists()
+    assert not list((tmp_path / "w").glob("generation-*/_temporary"))
     # any gzip reader can open them, and ids are unique
     heads = [x for b in stored.values() for x in gzip.decompress(b).split(b"\r\n") if x.startswith(b"WARC-Record-ID")]
     assert len(heads) == len(set(heads)) == len(ROWS) + len(stored)
@@ -81,24 +81,68 @@ def test_deterministic_shards_and_rolls(spark, tmp_path, monkeypatch):
     assert len({r.archive[:12] for r in warc.read(spark, a).filter("page_id = 77777").collect()}) > 1
 
 
+def generation(spark, at):
+    return warc.current(spark, at)["generation"]
+
+
 def test_publishing_twice(spark, tmp_path):
     """A publishing task that runs again finds its files moved; one whose file is nowhere fails."""
     at = root(tmp_path)
     warc.write(pages(spark, ROWS), at)
-    again = spark.read.schema(warc.MANIFEST).parquet(f"{at}/_files")
-    assert again.mapInArrow(warc._publisher(at), warc.MANIFEST).count() == again.count()
-    next((tmp_path / "w").glob("*.warc.gz")).unlink()
+    own = f"{at}/{generation(spark, at)}"
+    again = spark.read.schema(warc.MANIFEST).parquet(f"{own}/_files")
+    assert again.mapInArrow(warc._publisher(own), warc.MANIFEST).count() == again.count()
+    next((tmp_path / "w").glob("generation-*/*.warc.gz")).unlink()
     with pytest.raises(Exception, match="neither under its temporary name"):
-        again.mapInArrow(warc._publisher(at), warc.MANIFEST).count()
+        again.mapInArrow(warc._publisher(own), warc.MANIFEST).count()
+
+
+@pytest.mark.parametrize("step", ["_writer", "_publisher", "_totals", "remove", "publish"])
+def test_a_write_that_stops_leaves_the_archive(spark, tmp_path, monkeypatch, step):
+    at = root(tmp_path)
+    warc.write(pages(spark, ROWS), at)
+    stop = lambda *a: (_ for _ in ()).throw(OSError("stopped"))
+    with monkeypatch.context() as m:
+        m.setattr(warc, step, stop)
+        with pytest.raises(OSError, match="stopped"):
+            warc.write(pages(spark, ROWS[:5]), at)
+    assert result(warc.read(spark, at)) == expected(ROWS)
+    # a task that breaks in the middle of a shard
+    with monkeypatch.context() as m:
+        m.setattr(warc, "info_member", stop)
+        with pytest.raises(Exception, match="stopped"):
+            warc.write(pages(spark, ROWS[:5]), at)
+    assert result(warc.read(spark, at)) == expected(ROWS)
+    warc.write(pages(spark, ROWS[:5]), at)
+    assert result(warc.read(spark, at)) == expected(ROWS[:5])
+    warc.vacuum(spark, at)
+    assert result(warc.read(spark, at)) == expected(ROWS[:5]) and len(list((tmp_path / "w").glob("generation-*"))) == 1
 
 
 def test_only_the_manifest_counts(spark, tmp_path):
     at = root(tmp_path)
     warc.write(pages(spark, ROWS), at)
-    (tmp_path / "w/pages-999999-0000.warc.gz").write_bytes(b"left by a lost attempt")
+    (tmp_path / "w" / generation(spark, at) / "pages-999999-0000.warc.gz").write_bytes(b"left by a lost attempt")
     assert result(warc.read(spark, at)) == expected(ROWS)
 
 
+def test_the_manifest_is_compared(spark, tmp_path):
+    at = root(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        warc.read(spark, at)
+    warc.write(pages(spark, ROWS), at)
+    one = next((tmp_path / "w").glob("generation-*/*.warc.gz"))
+    whole = one.read_bytes()
+    one.write_bytes(whole + warc.page_member(99, "u", b"more", None, False))
+    with pytest.raises(Exception, match="not the file of the manifest"):
+        warc.read(spark, at).collect()
+    one.write_bytes(whole)
+    part = next(p for p in (tmp_path / "w").glob("generation-*/_manifest/part-*") if p.stat().st_size)
+    part.unlink()
+    with pytest.raises(ValueError, match="not the one that was committed"):
+        warc.read(spark, at)
+
+
 def test_damage_is_seen():
     good = warc.page_member(1, "u", b"payload", None, False)
     assert len(list(warc.records(iter([good[:9], good[9:] + good])))) == 2
