@@ -5,13 +5,17 @@ quality weight of its text. Within a source documents are taken in order of
 their keys up to the token budget. A source that should give more than it has
 gives whole epochs first, and only the rest is selected.
 
-No source is sorted as a whole. The keys of a source are cut into buckets of
-about ``BUCKET`` documents; bucket sums, prefix-summed, tell which buckets are
-in and which are out, and only the one that the budget falls in is sorted.
+No source is sorted as a whole. The keys of a source are cut into ``PARTS``
+intervals; their sums, prefix-summed, tell which are in and which are out, and
+only the one that the budget falls in is cut again, until it holds ``BUCKET``
+keys or fewer and is sorted. Each round divides an interval by ``PARTS``
+whatever the distribution of the weights within it, and reads only its rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,7 +24,7 @@ from stonefly.llm.common import WORD_CLASS, Scratch
 
 #: Weights of the sources in code-point order, repeating; the mix's size over that of all sources; most epochs.
 WEIGHTS, SHARE, EPOCHS = (5, 2, 1), 1.5, 2
-BUCKET = 4096
+BUCKET, PARTS = 4096, 1024
 #: Part of the sampling hash; another value draws another mix.
 SALT = "mix-1"
 
@@ -68,46 +72,62 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return sized.withColumn("key", -F.log(uniform(F.coalesce(F.col("doc_id").cast("string"), F.md5(text.cast("binary"))), F.col("size"))) / F.col("_w")).drop("_w")
 
 
-def _bucket(key: Column, buckets: Column) -> Column:
-    """1 - e^-key is spread over (0, 1) about evenly whatever the weights."""
-    return F.least(F.floor((1 - F.exp(-key)) * buckets), buckets - 1).cast("bigint")
+def _mark() -> Column:
+    """The total order of the documents of a source."""
+    return F.struct(F.col("key"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("size"))
 
 
-def _order() -> list[Column]:
-    return [F.col("key"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("size")]
+def _edges(own: DataFrame, scratch: Scratch) -> DataFrame:
+    """own: ``sid``, ``rest``, ``key``, ``size``, on storage. For each source the interval of keys, ``least`` to ``most``,
+    that the budget ``rest`` falls in, and the size of what lies ``before`` it. Each round is a grouped sum of at most
+    ``PARTS`` rows a source; ``least`` and ``most`` are keys, so no rounding moves a document over a border."""
+    key, done = F.col("key"), []
+    rows = own.withColumns({"before": F.lit(0).cast("bigint"), "part": F.floor(key / (1 + key) * PARTS)})
+    while True:
+        sums = rows.groupBy("sid", "rest", "before", "part").agg(F.sum("size").alias("here"), F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("most"))
+        start = F.col("before") + F.sum("here").over(W.partitionBy("sid").orderBy("part")) - F.col("here")
+        upto = sums.withColumn("start", start).filter(F.col("start") + F.col("here") >= F.col("rest"))
+        e = upto.groupBy("sid").agg(F.min(F.struct("part", "start", "n", "least", "most")).alias("e")).select("sid", "e.*")
+        edges = scratch.cut(e.select("sid", "least", "most", F.col("start").alias("before"), ((F.col("n") > BUCKET) & (F.col("least") < F.col("most"))).alias("open")))
+        done.append(edges.filter("not open"))
+        again = edges.filter("open").drop("open")
+        if not again.take(1):
+            return reduce(DataFrame.unionByName, done)
+        within = F.floor((key - F.col("least")) / (F.col("most") - F.col("least")) * PARTS)
+        rows = own.join(again, "sid").filter(key.between(F.col("least"), F.col("most"))).withColumn("part", F.least(within, F.lit(PARTS - 1)))
 
 
 def plan_sources(narrow: DataFrame, scratch: Scratch) -> DataFrame:
     """One row a source: size, target, whole epochs, and the border of the fractional selection, which takes all
-    documents in buckets before ``edge`` and those of that bucket up to ``border`` in order of their keys."""
+    documents of keys under ``least`` and those of keys up to ``most`` that do not come after ``border``."""
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    plan = _targets(narrow).select("source", "sid", "source_size", "target", epochs.alias("epochs"), F.ceil(F.col("n") / BUCKET).alias("buckets"))
+    plan = _targets(narrow).select("source", "sid", "source_size", "target", epochs.alias("epochs"))
     plan = scratch.cut(plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
-    short = plan.select(F.col("source").alias("_source"), "sid", "rest", "buckets")
-    own = narrow.join(short, F.col("source").eqNullSafe(F.col("_source"))).withColumn("bucket", _bucket(F.col("key"), F.col("buckets")))
-    sums = own.groupBy("sid", "rest", "bucket").agg(F.sum("size").alias("here"))
-    before = F.sum("here").over(W.partitionBy("sid").orderBy("bucket")) - F.col("here")
-    open_ = sums.withColumn("before", before).filter(F.col("before") + F.col("here") >= F.col("rest"))
-    edges = scratch.cut(open_.groupBy("sid").agg(F.min(F.struct("bucket", "before")).alias("e")).select("sid", F.col("e.bucket").alias("bucket"), "e.before"))
-    run = F.col("before") + F.sum("size").over(W.partitionBy("sid").orderBy(*_order()).rowsBetween(W.unboundedPreceding, 0))
+    short = plan.select(F.col("source").alias("_source"), "sid", "rest")
+    # rows alike share their fate and are one entry, so that no place holds many of them
+    alike = narrow.groupBy("source", "key", "doc_id", "size").agg(F.count("*").alias("copies"))
+    own = alike.join(short, F.col("source").eqNullSafe(F.col("_source"))).select("sid", "rest", "key", "doc_id", F.col("size").alias("one"), (F.col("size") * F.col("copies")).alias("size"))
+    own = scratch.cut(own)
+    edges = scratch.cut(_edges(own, scratch))
+    inside = own.join(edges, "sid").filter(F.col("key").between(F.col("least"), F.col("most")))
+    mark = F.struct(F.col("key"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("one").alias("size"))
+    run = F.col("before") + F.sum("size").over(W.partitionBy("sid").orderBy(mark).rowsBetween(W.unboundedPreceding, 0))
     # the document on the border is in if that comes nearer to the budget
-    inside = own.join(edges, ["sid", "bucket"]).withColumn("run", run).filter(F.col("run") - F.col("size") / 2 < F.col("rest"))
-    borders = inside.groupBy("sid").agg(F.max(F.struct(*_order()[:1], _order()[1].alias("no_id"), "doc_id", "size")).alias("border"))
-    out = plan.join(edges.select("sid", F.col("bucket").alias("edge")), "sid", "left").join(borders, "sid", "left")
+    borders = inside.withColumns({"run": run, "mark": mark}).filter(F.col("run") - F.col("size") / 2 < F.col("rest")).groupBy("sid").agg(F.max("mark").alias("border"))
+    out = plan.join(edges.select("sid", "least", "most"), "sid", "left").join(borders, "sid", "left")
     return scratch.cut(out.drop("sid", "rest"))
 
 
 def _copies() -> Column:
     """From a keyed document beside its source's plan."""
-    at = _bucket(F.col("key"), F.col("buckets"))
-    mine = F.struct(F.col("key"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("size"))
-    chosen = F.col("edge").isNull() | (at < F.col("edge")) | (at == F.col("edge")) & F.coalesce(mine <= F.col("border"), F.lit(False))
-    # without a fraction to fill nothing is chosen; the first bucket is then the edge, and its border is empty
+    # without a fraction to fill nothing is chosen: the first interval is then the edge, and its border is empty
+    key, upto = F.col("key"), F.coalesce(_mark() <= F.col("border"), F.lit(False))
+    chosen = F.col("least").isNull() | (key < F.col("least")) | (key <= F.col("most")) & upto
     return (F.col("epochs") + chosen.cast("int")).alias("copies")
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """For every row of ``docs``: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``.
+    """For every row of ``docs``: ``doc_id``, ``size``, ``source_size``, ``target``, ``taken``, ``source``, ``copies``.
 
     Null and empty texts have size 0 and cost nothing. A null source is a source of its own, the last. Equal keys go
     by id, then size; rows that are alike in id and size share their fate. Further columns are ignored; no rows give no rows.
@@ -115,13 +135,17 @@ def mix(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     narrow = scratch.cut(_keyed(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", "key"))
     plan = plan_sources(narrow, scratch).withColumnRenamed("source", "_source")
-    copies = narrow.join(plan, F.col("source").eqNullSafe(F.col("_source"))).select(narrow.doc_id, narrow.source, narrow["size"], "source_size", "target", _copies())
-    return copies.withColumn("taken", F.col("copies") * F.col("size"))
+    copies = narrow.join(plan, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source_size", "target", "source", _copies())
+    return copies.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
 def take(docs: DataFrame) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its columns. The border of a source tells of each
-    document whether it is in, so texts need no shuffle beside the few rows of the plan."""
+    document whether it is in, so texts need no shuffle beside the few rows of the plan.
+
+    Null and empty texts have size 0 and are taken as their keys fall; a null source is a source of its own; repeated rows
+    share their fate; equal keys go by id, then size; further columns pass, whatever their names; no rows give no rows.
+    """
     scratch = Scratch(docs.sparkSession)
     narrow = scratch.cut(_keyed(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", "key"))
     plan = plan_sources(narrow, scratch).withColumnRenamed("source", "_source")
@@ -145,6 +169,6 @@ t AS (SELECT source, z, least(2 * z, coalesce((SELECT level FROM l) * w, 2 * z))
 p AS (SELECT k.*, z, target, CASE WHEN z > 0 THEN floor(target / z) ELSE 0 END AS epochs,
   sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS run
   FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, source, size, z::BIGINT AS source_size, target, (epochs + chosen)::INT AS copies, ((epochs + chosen) * size)::BIGINT AS taken
+SELECT doc_id, size, z::BIGINT AS source_size, target, ((epochs + chosen) * size)::BIGINT AS taken, source, (epochs + chosen)::INT AS copies
 FROM (SELECT *, (run - size / 2.0 < target - epochs * z)::INT AS chosen FROM p)
 """

@@ -55,9 +55,33 @@ def test_buckets(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     whole = mine(docs)
     monkeypatch.setattr(mixing, "BUCKET", 3)
+    monkeypatch.setattr(mixing, "PARTS", 8)
     assert mine(docs) == whole
 
 
+def test_columns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert mixing.mix(docs).columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def test_the_interval_of_the_budget_is_small(spark):
+    """However the weights are: a source of weight 0.1 throughout, whose keys are large and spread, among others."""
+    from pyspark.sql import functions as F
+
+    from stonefly.llm.common import Scratch
+
+    n = 120_000
+    u = (F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    rows = spark.range(n).select((F.col("id") % 3).alias("sid"), F.lit(3_000_000.0).alias("rest"), (-F.log(u) / F.element_at(F.array(F.lit(0.1), F.lit(0.5), F.lit(1.0)), (F.col("id") % 3 + 1).cast("int"))).alias("key"), F.lit(100).cast("bigint").alias("size"))
+    scratch = Scratch(spark)
+    own = scratch.cut(rows)
+    edges = mixing._edges(own, scratch)
+    held = {r.sid: (r.n, r.before, r.under) for r in own.join(edges, "sid").groupBy("sid", "before").agg(F.count_if(F.col("key").between(F.col("least"), F.col("most"))).alias("n"), F.sum(F.when(F.col("key") < F.col("least"), F.col("size"))).alias("under")).collect()}
+    assert len(held) == 3
+    for k, before, under in held.values():
+        assert 0 < k <= mixing.BUCKET and before == under and before < 3_000_000 <= before + 100 * k
+
+
 def test_edges(spark):
     rows = [(1, "a", "x y z", 1), (2, "a", None, 2), (3, "a", "", 3), (4, None, "one two", 4), (None, None, "three four five six", 5), (5, "b", "w " * 3000, 6), (6, "c", None, 7), (7, "b", "v", 8), (7, "b", "v", 8)]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, size int")
