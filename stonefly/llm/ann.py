@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +37,10 @@ from stonefly.llm.common import Scratch
 #: Numbers in the sample of the fit (rows times width) and rows at most; the sample goes to the driver and to each worker.
 SAMPLE_NUMBERS, SAMPLE_ROWS = 4_000_000, 16_384
 #: Rows that a cell should hold, bounds of K, rounds of the fit.
-CELL, LEAST_K, MOST_K, ROUNDS, SEED = 16, 16, 1024, 12, 20240229
-#: Rows of a bucket and queries of a block, about; queries scored together.
-BUCKET, BLOCK, CHUNK = 8192, 4096, 256
+CELL, LEAST_K, MOST_K, ROUNDS, SEED = 64, 16, 1024, 12, 20240229
+#: Rows of a bucket and queries of a block, about; queries scored together. With one query in twenty rows, buckets of half
+#: a block's size move the fewest vectors.
+BUCKET, BLOCK, CHUNK = 2048, 4096, 256
 
 
 def _fit(x: np.ndarray, k: int) -> np.ndarray:
@@ -164,28 +165,31 @@ def _unpacked(col: pa.ChunkedArray | pa.Array, kind: str, width: int) -> np.ndar
     return np.frombuffer(b"".join(col.to_pylist()), kind).reshape(-1, width).astype(float)
 
 
-def _best(ids: np.ndarray, x: np.ndarray, raw: np.ndarray, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, allowed: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """Of each query the k best allowed rows from its floor on. Products are summed without rounding, so equal vectors tie exactly."""
+def _best(ids: np.ndarray, x: np.ndarray, raw: np.ndarray, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, taken: Callable, k: int) -> list[tuple[int, int, float]]:
+    """Of each query the k best rows from its floor on whose cells are ``taken``. Products are summed without rounding, so equal vectors tie exactly."""
     found = []
     for at in range(0, len(q), CHUNK):
         score = q[at : at + CHUNK] @ x.T
-        score[~allowed[at : at + CHUNK] | (q_ids[at : at + CHUNK, None] == ids[None, :]) | (score < floor[at : at + CHUNK, None])] = -np.inf
-        for r, row in enumerate(score):
+        r, c = np.nonzero(score >= floor[at : at + CHUNK, None])
+        keep = (q_ids[at + r] != ids[c]) & taken(at + r, c)
+        r, c = r[keep], c[keep]
+        own = score[r, c]
+        ends = np.searchsorted(r, np.arange(len(score) + 1))
+        for i in np.flatnonzero(np.diff(ends)):
+            near, row = c[ends[i] : ends[i + 1]], own[ends[i] : ends[i + 1]]
             if len(row) > k:
                 edge = np.partition(row, len(row) - k)[len(row) - k]
-                near = np.flatnonzero(row >= edge - 1e-9 * max(1.0, abs(edge))) if np.isfinite(edge) else np.flatnonzero(np.isfinite(row))
-            else:
-                near = np.flatnonzero(np.isfinite(row))
-            mine = q[at + r]
+                near = near[row >= edge - 1e-9 * max(1.0, abs(edge))]
+            mine = q[at + i]
             if len(near) > 4 * k:  # many copies of a vector: one sum for all of them
                 _, inverse = np.unique(raw[near], return_inverse=True)
                 shown = np.zeros(inverse.max() + 1, np.int64)
                 shown[inverse] = np.arange(len(near))
                 sums = np.array([math.fsum((mine * x[near[s]]).tolist()) for s in shown])[inverse]
             else:
-                sums = np.array([math.fsum((mine * x[n]).tolist()) for n in near])
-            order = np.lexsort((ids[near], -sums))[:k] if len(near) else []
-            found += [(int(q_ids[at + r]), int(ids[near[o]]), float(sums[o])) for o in order]
+                sums = np.array([math.fsum(p) for p in (x[near] * mine).tolist()])
+            order = np.lexsort((ids[near], -sums))[:k]
+            found += [(int(q_ids[at + i]), int(ids[near[o]]), float(sums[o])) for o in order]
     return found
 
 
@@ -268,17 +272,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         ix, found = placed.value, []
         if left.num_rows and right.num_rows:
             row_ids, raw = left.column("vec_id").to_numpy(), np.array(left.column("v").to_pylist(), object)
-            _, one = np.unique([f"{i}:{v.hex()}" for i, v in zip(row_ids, raw, strict=True)], return_index=True)
-            one = one[np.argsort(row_ids[one], kind="stable")]
+            one = np.arange(len(row_ids))
+            if len(np.unique(row_ids)) < len(row_ids):
+                _, one = np.unique([f"{i}:{v.hex()}" for i, v in zip(row_ids, raw, strict=True)], return_index=True)
             row_ids, raw, cells = row_ids[one], raw[one], left.column("cell").to_numpy()[one]
             x = np.frombuffer(b"".join(raw), kind).reshape(-1, width).astype(float)
             q_ids, q, stop = right.column("query_id").to_numpy(), _unpacked(right.column("q"), kind, width), right.column("stop").to_numpy()
-            floor = right.column("floor").to_numpy()
-            for at in range(0, len(q), CHUNK):
-                s = slice(at, at + CHUNK)
-                a, b = ix.sums(q[s])
-                allowed = a[:, cells // len(ix.b)] + b[:, cells % len(ix.b)] >= stop[s, None] - 1e-9
-                found += _best(row_ids, x, raw, q_ids[s], q[s], floor[s], allowed, k)
+            a, b = ix.sums(q)
+            i, j = cells // len(ix.b), cells % len(ix.b)
+            found = _best(row_ids, x, raw, q_ids, q, right.column("floor").to_numpy(), lambda r, c: a[r, i[c]] + b[r, j[c]] >= stop[r] - 1e-9, k)
         cols = list(zip(*found, strict=True)) if found else [[], [], []]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
