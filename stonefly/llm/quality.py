@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stonefly.llm.common import Scratch, map_batches
+from stonefly.llm.common import Scratch, map_batches, slices
 from stonefly.llm.textstats import NAMES, vector
 
 FIT_ROWS, FIT_PARTITIONS = 200_000, 8
@@ -94,16 +94,24 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
 
 
-def fit(stats: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "quality") -> Model:
-    """stats: as ``statistics`` returns, on storage. Null labels and ids train nothing, of repeated labels the least
-    counts. Without training rows every score is one half."""
-    own = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg((F.min(label) >= 1).cast("int").alias("y"))
-    rows = stats.join(own, "doc_id").filter(~held_out())
-    count = rows.count()
+def training(labels: DataFrame, scratch: Scratch, label: str = "quality") -> DataFrame:
+    """``doc_id``, ``y``: the labels that may train, cut by a hash of the id to about ``FIT_ROWS``, which bounds what is
+    broadcast. Null labels and ids train nothing, of repeated labels the least counts."""
+    usable = labels.filter(F.col(label).isNotNull() & ~held_out())
+    own = scratch.cut(usable.groupBy("doc_id").agg((F.min(label) >= 1).cast("int").alias("y")))
+    count = own.count()
     if count > FIT_ROWS:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / count))
+        own = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / count))
+    return F.broadcast(own)
+
+
+def fit(stats: DataFrame, train: DataFrame, scratch: Scratch) -> Model:
+    """stats: as ``statistics`` returns; train: as ``training`` returns. Of rows that share an id the one of least
+    statistics trains. Without training rows every score is one half."""
     part = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) == 0
-    rows = scratch.cut(rows.select("v", "y", part.alias("calibrate")).coalesce(FIT_PARTITIONS))
+    # the sample is cut first and has a proven bound, so the statistics meet it where they are; only it is exchanged
+    once = stats.join(train, "doc_id").groupBy("doc_id").agg(F.min(F.struct("v", "y")).alias("r"))
+    rows = scratch.cut(once.select("r.v", "r.y", part.alias("calibrate")).repartition(FIT_PARTITIONS))
     rows = rows.coalesce(FIT_PARTITIONS)
     k = len(NAMES)
     m = _sums(rows, lambda v, y: np.r_[len(v), v.sum(0), (v * v).sum(0), y.sum()], 2 * k + 2)
@@ -144,7 +152,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     stats = scratch.cut(statistics(docs))
-    model = fit(stats, labels, scratch)
+    model = fit(stats, training(labels, scratch), scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,12 +164,19 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with a score of at least ``threshold``, all columns as they were. Texts stay where they are: no shuffle."""
+    """The documents with a score of at least ``threshold``, all columns as they were. Texts stay where they are: no
+    shuffle, and only those of the training sample are measured before they are scored.
+
+    Null, empty and blank texts have zero statistics and are scored by them; rows with a null id train nothing and are
+    scored; repeated rows share their fate; further columns pass; no rows give no rows.
+    """
     scratch = Scratch(docs.sparkSession)
-    model = fit(scratch.cut(statistics(docs)), labels, scratch)
+    train = training(labels, scratch)
+    sample = docs.select("doc_id", "text").join(F.broadcast(train.select("doc_id")), "doc_id", "left_semi")
+    model = fit(statistics(sample), train, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             v = np.array([vector(t) for t in b.column("text").cast(pa.binary()).to_pylist()]).reshape(-1, len(NAMES))
             yield b.filter(pa.array(model.score(v) >= threshold))
 
