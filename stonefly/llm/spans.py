@@ -7,8 +7,10 @@ lower case. Of the places of a span over all documents the first, by id and
 position, stays; sentences covered by any other are removed.
 
 Each batch of documents marks its own later places, so a span however common
-sends one place a batch to the exchange, not one a document. The places then
-meet in one shuffle, sorted by hash, and are compared as they stream by.
+sends one place a batch to where its places meet, not one a document; the later
+ones are known and go along anywhere. All is one shuffle, sorted by hash, and
+places are compared as they stream by. Texts that lose nothing are not exchanged
+where the keys of those that do are few enough to be sent to all.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +30,9 @@ from pyspark.sql import types as T
 from stonefly.llm.common import Scratch, slices
 
 #: Sentences and words of a span at least; words of a piece of a long sentence at most; one word in so many ends a piece.
-RUN, LEAST_WORDS, PIECE, PICK = 3, 16, 16, 8
+RUN, LEAST_WORDS, PIECE, PICK = 3, 38, 16, 8
+#: Documents that lose something, two numbers each, whose keys are broadcast at most.
+MOST_KEYS = 1_000_000
 #: Where a sentence ends: a stop, closing marks and white space, or the line.
 _STOP = re.compile(rb"""(?:[.!?]|\xe3\x80\x82|\xef\xbc[\x81\x9f])["')\]]*[ \t\r\x0b\x0c]+|\n+""")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -123,9 +128,14 @@ def _places(run: int, least: int, id_type: pa.DataType):
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over places sorted by hash, id, mark and position: those that differ from the first of their hash."""
+    """Over places sorted by hash, id, mark and position: those that differ from the first of their hash, and those that
+    are known to."""
     held: pa.RecordBatch | None = None  # the first place of the hash that the last batch ended in
+    short = ["id", "th", "pos", "len"]
     for batch in batches:
+        known = batch.column("later")
+        yield batch.filter(known).select(short)
+        batch = batch.filter(pc.invert(known))
         if not batch.num_rows:
             continue
         whole = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
@@ -134,7 +144,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
         first = np.maximum.accumulate(np.where(new, np.arange(len(h1)), 0))
         later = (coded != coded[first]) | (th != th[first]) | (pos != pos[first])
-        yield whole.filter(pa.array(later)).select(["id", "th", "pos", "len"])
+        yield whole.filter(pa.array(later)).select(short)
         held = whole.slice(int(first[-1]), 1)
 
 
@@ -144,16 +154,16 @@ def repeated(keyed: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> Data
 
     kind = keyed.schema["id"].dataType
     schema = T.StructType([T.StructField(n, t) for n, t in zip(_PLACE, [T.LongType(), T.LongType(), kind, T.LongType(), T.IntegerType(), T.IntegerType(), T.BooleanType()], strict=True)])
-    found = Scratch(keyed.sparkSession).cut(keyed.select("id", "text", "th").mapInArrow(_places(run, least, to_arrow_type(kind)), schema))
+    found = keyed.select("id", "text", "th").mapInArrow(_places(run, least, to_arrow_type(kind)), schema)
     short = T.StructType([schema[n] for n in ("id", "th", "pos", "len")])
-    met = found.filter("not later").drop("later").repartition("h1", "h2").sortWithinPartitions("h1", "h2", "id", "th", "pos").mapInArrow(_scan, short)
-    every = met.unionByName(found.filter("later").select("id", "th", "pos", "len"))
+    where = F.when(F.col("later"), F.xxhash64("id", "th", "pos")).otherwise(F.xxhash64("h1", "h2"))
+    every = found.repartition(where).sortWithinPartitions("h1", "h2", "id", "th", "pos").mapInArrow(_scan, short)
     # a document's spans are as many as its sentences
     return every.groupBy("id", "th").agg(F.collect_set(F.struct("pos", "len")).alias("cover"))
 
 
-def _cut(b: bytes, cover: list[dict]) -> tuple[bytes, list[tuple[int, int]], int, int]:
-    """The rest of the text, the byte ranges removed, and the numbers of sentences there were and were removed."""
+def _cut(b: bytes, cover: list[dict]) -> tuple[bytes, list[tuple[int, int]], int]:
+    """The rest of the text, the byte ranges removed, and the number of sentences removed."""
     units = sentences(b)
     gone = np.zeros(len(units) + 1, np.int64)
     for c in cover:
@@ -171,12 +181,12 @@ def _cut(b: bytes, cover: list[dict]) -> tuple[bytes, list[tuple[int, int]], int
     for s, e in ranges:
         parts.append(b[at:s])
         at = e
-    return b"".join(parts) + b[at:], [tuple(r) for r in ranges], len(units), int(gone.sum())
+    return b"".join(parts) + b[at:], [tuple(r) for r in ranges], int(gone.sum())
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
-    """For every row: ``doc_id``, ``text`` without repeats, ``n_sentences``, ``n_removed``, ``removed`` (start:end of the
-    ranges taken out, in code points of the text as it was, end exclusive, comma-joined).
+    """For every row: ``doc_id``, ``text`` without repeats, ``n_removed`` (sentences or pieces taken out), ``removed``
+    (start:end of their ranges, in code points of the text as it was, end exclusive, comma-joined).
 
     Null texts stay null and have no sentences; empty and blank texts, and those too short for a span, stay as they
     are. Ids order the places, null ids first; rows with equal ids go by a hash of the text, and rows alike in both
@@ -185,22 +195,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     cover = Scratch(docs.sparkSession).cut(repeated(keyed, run, least).select(F.col("id").alias("c_id"), F.col("th").alias("c_th"), "cover"))
-    both = keyed.join(cover, F.col("th").eqNullSafe(F.col("c_th")) & F.col("id").eqNullSafe(F.col("c_id")), "left").select("id", "text", "cover")
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.StringType())])
+    own = F.col("th").eqNullSafe(F.col("c_th")) & F.col("id").eqNullSafe(F.col("c_id"))
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.StringType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            old = batch.column(1).cast(pa.binary()).to_pylist()
-            text, total, gone, removed = [], [], [], []
-            for b, c in zip(old, batch.column(2).to_pylist(), strict=True):
-                rest, ranges, n, k = _cut(b, c) if c else (b, [], len(sentences(b or b"")), 0)
+            text, gone, removed = [], [], []
+            for b, c in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                rest, ranges, k = _cut(b, c) if c else (b, [], 0)
                 text.append(rest)
-                total.append(n)
                 gone.append(k)
                 removed.append(",".join(_points(b, ranges)) if ranges else "")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.binary()).cast(batch.schema.field(1).type), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed)], names=schema.names)
-
-    return both.mapInArrow(apply, schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.binary()).cast(batch.schema.field(1).type), pa.array(gone, pa.int64()), pa.array(removed)], names=schema.names)
+
+    if cover.count() > MOST_KEYS:
+        return keyed.join(cover, own, "left").select("id", "text", "cover").mapInArrow(apply, schema)
+    few = F.broadcast(cover.select("c_id", "c_th"))
+    whole = keyed.join(few, own, "left_anti").select(F.col("id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("bigint").alias("n_removed"), F.lit("").alias("removed"))
+    cut = keyed.join(few, own, "left_semi").join(cover, own).select("id", "text", "cover").mapInArrow(apply, schema)
+    return whole.unionByName(cut)
 
 
 def _points(b: bytes, ranges: list[tuple[int, int]]) -> list[str]:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -26,7 +27,7 @@ def brute(rows, run=spans.RUN, least=spans.LEAST_WORDS):
 
 def made(seed, n, shared=3):
     r = random.Random(seed)
-    sentence = lambda: " ".join("".join(r.choice("abcdeé") for _ in range(4)) for _ in range(r.randint(1, 20))).capitalize() + r.choice([".", "!", "?", ".\n", "\n"])
+    sentence = lambda: " ".join("".join(r.choice("abcdeé") for _ in range(4)) for _ in range(r.randint(1, 25))).capitalize() + r.choice([".", "!", "?", ".\n", "\n"])
     passages = [" ".join(sentence() for _ in range(6)) for _ in range(shared)]
     rows = []
     for i in range(n):
@@ -44,6 +45,9 @@ def test_against_brute(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
         got = {r.doc_id: r for r in spans.remove_repeats(docs).collect()}
         assert {i: r.text for i, r in got.items()} == brute(rows)
+    with pytest.MonkeyPatch.context() as m:  # too many keys to broadcast
+        m.setattr(spans, "MOST_KEYS", 0)
+        assert sorted(map(tuple, spans.remove_repeats(docs).collect())) == sorted(map(tuple, got.values()))
     assert sum(r.n_removed for r in got.values()) > 50
     for i, t in rows:
         at, rest = 0, []
