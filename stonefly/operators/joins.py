@@ -57,3 +57,9 @@ def merge_join(left: DataFrame, right: DataFrame, how: JoinType, left_keys: Sequ
 def join_using(left: DataFrame, right: DataFrame, names: Sequence[str], how: JoinType = JoinType.INNER) -> DataFrame:
     """USING: the named columns appear once."""
     return left.join(right, list(names), how.value)
+
+
+def natural_join(left: DataFrame, right: DataFrame, how: JoinType = JoinType.INNER) -> DataFrame:
+    """NATURAL: USING of all columns that both sides have; without any it is a cross join, as in SQL."""
+    shared = [c for c in left.columns if c in set(right.columns)]
+    return join_using(left, right, shared, how) if shared else left.crossJoin(right)

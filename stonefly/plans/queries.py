@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +14,12 @@ from stonefly.functions.expr import BinaryOp, UnaryOp, binary, literal, ref, una
 from stonefly.functions.types import DType
 from stonefly.operators import joins as J
 from stonefly.operators import relational as R
-from stonefly.plans.txn import Isolation, TxnManager, visible_as_of
-from stonefly.session import Engine, shared_folder
+from stonefly.functions.expr import TypeMismatch
+from stonefly.plans.dml import ConstraintViolation
+from stonefly.plans.txn import Isolation, TupleNonExistent, TupleNotVisible, TxnManager, WriteConflict, visible_as_of
+from stonefly.session import Engine, UnsupportedStatement, shared_folder
+from stonefly.sources.catalog import CatalogNotFound, DuplicateColumn, TableExists
+from stonefly.sources.publish import hadoop
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,27 +84,43 @@ def project_expr(spark, d):
     return R.project(li, "l_orderkey", "l_linenumber", net.alias("net"), binary(BinaryOp.ADD, ref(li, "l_quantity"), one).alias("q1"))
 
 
-# index layout
+# index scans: an index of orders is made once for each state of its file and kept in the shared folder
+
+
+def _indexed(spark, d) -> Engine:
+    path, fs = hadoop(spark, f"{d}/orders.parquet")
+    now = fs.getFileStatus(path)
+    stamp = hashlib.sha256(f"{now.getPath()}:{now.getLen()}:{now.getModificationTime()}".encode()).hexdigest()[:16]
+    e = Engine(spark, f"{shared_folder(spark)}/indexed-{stamp}")
+    try:
+        e.catalog.index("orders_key")
+    except CatalogNotFound:
+        try:
+            e.register_parquet("orders", f"{d}/orders.parquet")
+        except TableExists:  # by another session, which may not have made the index
+            pass
+        e.create_index("orders_key", "orders", "o_orderkey", files=8)
+    return e
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 777")
 def index_point_order(spark, d):
-    return R.index_get(t(spark, d, "orders"), "o_orderkey", 777).select("o_orderkey", "o_custkey", "o_totalprice")
+    return _indexed(spark, d).index_get("orders_key", 777).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 200")
 def index_range_orders(spark, d):
-    return R.index_scan(t(spark, d, "orders"), "o_orderkey", 100, 200).select("o_orderkey", "o_custkey")
+    return _indexed(spark, d).index_scan("orders_key", 100, 200).select("o_orderkey", "o_custkey")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 250")
 def index_range_open_start(spark, d):
-    return R.index_scan(t(spark, d, "orders"), "o_orderkey", None, 250).select("o_orderkey", "o_custkey")
+    return _indexed(spark, d).index_scan("orders_key", None, 250).select("o_orderkey", "o_custkey")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 1000 AND o_orderstatus = 'F'")
 def index_range_open_end(spark, d):
-    return R.index_scan(t(spark, d, "orders"), "o_orderkey", 1000, None, F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey")
+    return _indexed(spark, d).index_scan("orders_key", 1000).filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
 
 
 # one query an operator
@@ -256,6 +278,11 @@ def join_using(spark, d):
     return J.join_using(t(spark, d, "documents").select("doc_id", "lang"), t(spark, d, "labels").select("doc_id", "quality"), ["doc_id"])
 
 
+@query("SELECT doc_id, lang, quality FROM (SELECT doc_id, lang FROM documents) NATURAL JOIN (SELECT doc_id, quality FROM labels)")
+def join_natural(spark, d):
+    return J.natural_join(t(spark, d, "documents").select("doc_id", "lang"), t(spark, d, "labels").select("doc_id", "quality"))
+
+
 # sort, limit, grouping, derived tables
 
 
@@ -395,8 +422,6 @@ def _history():
 
 @query(f"SELECT s.reader AS reader, id, v FROM {_VERSIONS_SQL} CROSS JOIN (VALUES (10), (15), (20), (25), (30)) AS s(reader) WHERE xmin <= s.reader AND (xmax IS NULL OR xmax > s.reader)")
 def visible_as_of_each(spark, d):
-    from functools import reduce
-
     v = _versions(spark)
     return reduce(lambda a, b: a.unionByName(b), [v.filter(visible_as_of(at)).select(F.lit(at).alias("reader"), "id", "v") for at in (10, 15, 20, 25, 30)])
 
@@ -421,6 +446,129 @@ def visible_read_uncommitted(spark, d):
     return _versions(spark).filter(m.visible(reader)).select("id", "v")
 
 
+# the same on stored tables: several transactions at once, and an index that is read by one of them
+
+
+def _accounts(spark) -> Engine:
+    e = _engine(spark)
+    e.sql("CREATE TABLE acc (id BIGINT PRIMARY KEY, n INT)")
+    e.sql("INSERT INTO acc VALUES (1, 10), (2, 20), (3, 30), (4, 40)")
+    return e
+
+
+def _conflict(f) -> None:
+    try:
+        f()
+    except WriteConflict:
+        return
+    raise AssertionError("two transactions changed one row")
+
+
+@query("SELECT * FROM (VALUES (1, 10), (3, 30), (4, 41)) AS v(id, n)")
+def stored_first_writer_wins(spark, d):
+    """An open transaction deletes a row that another then cannot delete or change; it commits one change and aborts another."""
+    e = _accounts(spark)
+    a, b = e.txns.begin(), e.txns.begin()
+    e.sql("DELETE FROM acc WHERE id = 2", a)
+    e.sql("DELETE FROM acc WHERE id = 1", b)
+    _conflict(lambda: e.sql("DELETE FROM acc WHERE id <= 2"))
+    _conflict(lambda: e.sql("UPDATE acc SET n = 0 WHERE id = 2", b))
+    e.txns.commit(a)
+    e.txns.abort(b)
+    c = e.txns.begin()
+    e.sql("UPDATE acc SET n = n + 1 WHERE id = 4")
+    _conflict(lambda: e.sql("UPDATE acc SET n = n + 5 WHERE id = 4", c))
+    e.txns.abort(c)
+    return e.table("acc")
+
+
+@query("""SELECT * FROM (VALUES ('snapshot', 1, 10), ('snapshot', 2, 20), ('snapshot', 3, 30), ('snapshot', 4, 40), ('committed', 2, 21), ('committed', 3, 30), ('committed', 4, 40),
+('uncommitted', 2, 21), ('uncommitted', 4, 40), ('uncommitted', 5, 50), ('own', 2, 21), ('own', 4, 40), ('own', 5, 50)) AS v(reader, id, n)""")
+def stored_isolation(spark, d):
+    """A settled writer and an open one, as each kind of reader sees them; the last is the open writer itself."""
+    e = _accounts(spark)
+    readers = {"snapshot": e.txns.begin(Isolation.SNAPSHOT), "committed": e.txns.begin(Isolation.READ_COMMITTED), "uncommitted": e.txns.begin(Isolation.READ_UNCOMMITTED)}
+    e.sql("DELETE FROM acc WHERE id = 1")
+    e.sql("UPDATE acc SET n = n + 1 WHERE id = 2")
+    readers["own"] = e.txns.begin()
+    e.sql("DELETE FROM acc WHERE id = 3", readers["own"])
+    e.sql("INSERT INTO acc VALUES (5, 50)", readers["own"])
+    gone = e.txns.begin()
+    e.sql("DELETE FROM acc WHERE id = 4", gone)
+    e.txns.abort(gone)
+    return reduce(DataFrame.unionByName, [e.table("acc", x).select(F.lit(name).alias("reader"), "id", "n") for name, x in readers.items()])
+
+
+@query("SELECT * FROM (VALUES ('committed', 3, 30), ('committed', 7, 70), ('own', 3, 31), ('own', 7, 70), ('own', 8, 80)) AS v(reader, id, n)")
+def stored_index_scan(spark, d):
+    """A range of an index on a versioned table, as two readers see it; segments of before and after the index was made."""
+    e = _accounts(spark)
+    e.sql("CREATE INDEX acc_id ON acc (id)")
+    e.sql("INSERT INTO acc VALUES (7, 70), (9, 90)")
+    e.sql("DELETE FROM acc WHERE id = 4")
+    own = e.txns.begin()
+    e.sql("UPDATE acc SET n = n + 1 WHERE id = 3", own)
+    e.sql("INSERT INTO acc VALUES (8, 80)", own)
+    return reduce(DataFrame.unionByName, [e.index_scan("acc_id", 3, 9, x).select(F.lit(name).alias("reader"), "id", "n") for name, x in (("committed", None), ("own", own))])
+
+
+@query("SELECT * FROM (VALUES (1, 11), (3, 30), (4, 40), (5, 5)) AS v(id, n)")
+def stored_reopened(spark, d):
+    """A second engine opens the table that a first one left, goes on with its ids and sees what was committed."""
+    e = _accounts(spark)
+    e.sql("DELETE FROM acc WHERE id = 2")
+    e.sql("INSERT INTO acc VALUES (6, 60)", e.txns.begin())
+    f = Engine(spark, e.root)
+    f.txns.recover()
+    f.sql("UPDATE acc SET n = n + 1 WHERE id = 1")
+    f.sql("INSERT INTO acc VALUES (5, 5)")
+    return e.table("acc")
+
+
+@query("SELECT * FROM (VALUES (2, 20, 'row'), (1, NULL, 'TupleNotVisible'), (9, NULL, 'TupleNonExistent')) AS v(id, n, got)")
+def stored_get(spark, d):
+    e = _accounts(spark)
+    at = {r.id: (r._seg, r._row) for r in e.tables.scan("acc", with_rid=True).collect()} | {9: (99, 0)}
+    e.sql("DELETE FROM acc WHERE id = 1")
+    rows = []
+    for i in (2, 1, 9):
+        try:
+            rows.append((i, e.tables.get("acc", at[i])[1], "row"))
+        except (TupleNotVisible, TupleNonExistent) as x:
+            rows.append((i, None, type(x).__name__))
+    return R.values(spark, rows, [("id", DType.I32), ("n", DType.I32), ("got", DType.STRING)])
+
+
+@query("""SELECT * FROM (VALUES ('table', 'CatalogNotFound'), ('column', 'CatalogNotFound'), ('twice', 'DuplicateColumn'), ('exists', 'TableExists'), ('types', 'TypeMismatch'),
+('null', 'ConstraintViolation'), ('key', 'ConstraintViolation'), ('statement', 'UnsupportedStatement'), ('join', 'InvalidJoinCondition'), ('unique', 'NotUnique')) AS v(what, error)""")
+def error_kinds(spark, d):
+    e = _accounts(spark)
+    n = t(spark, d, "nation")
+    tries = {
+        "table": lambda: e.table("no"), "column": lambda: e.sql("INSERT INTO acc (id, no) VALUES (9, 9)"), "twice": lambda: e.sql("CREATE TABLE two (id INT, id INT)"), "exists": lambda: e.sql("CREATE TABLE acc (id INT)"),
+        "types": lambda: e.sql("SELECT id FROM acc WHERE id = '1'"), "null": lambda: e.sql("INSERT INTO acc (n) VALUES (1)"), "key": lambda: e.sql("INSERT INTO acc VALUES (1, 1)"), "statement": lambda: e.sql("MERGE INTO acc"),
+        "join": lambda: J.nested_loop_join(n, n, J.JoinType.INNER), "unique": lambda: R.index_get(n, "n_regionkey", 1),
+    }
+    rows = []
+    for what, f in tries.items():
+        try:
+            f()
+        except (CatalogNotFound, DuplicateColumn, TableExists, TypeMismatch, ConstraintViolation, UnsupportedStatement, J.InvalidJoinCondition, R.NotUnique) as x:
+            rows.append((what, type(x).__name__))
+    return R.values(spark, rows, [("what", DType.STRING), ("error", DType.STRING)])
+
+
+@query("SELECT k, v FROM (VALUES (1, 'a WHERE b'), (NULL, 'x'), (2, 'it''s ORDER BY')) AS t(k, v) ORDER BY k NULLS LAST LIMIT 2")
+def text_nulls_last(spark, d):
+    """SQL text keeps to the engine's NULL order, and quotes may hold any words."""
+    e = _engine(spark)
+    e.sql("CREATE TABLE w (k INT, v STRING DEFAULT 'it''s ORDER BY')")
+    e.sql("INSERT INTO w (k) VALUES (1), (2)")
+    e.sql("INSERT INTO w VALUES (NULL, 'x')")
+    e.sql("UPDATE w SET v = 'a WHERE b' WHERE k = 1")
+    return e.sql("SELECT k, v FROM w ORDER BY k LIMIT 2")
+
+
 # catalog
 
 
