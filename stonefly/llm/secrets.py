@@ -2,9 +2,10 @@
 
 A candidate is a long run of secret-like characters that follows a sensitive
 word. Its novelty is what it adds to a zstandard frame primed with a dictionary
-of common identifiers and the text around it without its own copies: a name
-known from code or made of the words nearby compresses away, a key does not,
-however often it is written.
+of identifiers, fixed ones and the words that most documents of the corpus hold,
+and the text around it without its own copies: a name known from code, made of
+the corpus's words or of those nearby compresses away, a key does not, however
+often it is written.
 
 All work is on UTF-8 bytes, where every pattern is ASCII; only the spans found
 are turned into code points.
@@ -14,10 +15,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stonefly.llm.common import map_batches, slices
 
@@ -49,11 +53,38 @@ get set put post delete update create insert select where value values key keys
 ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000000000 1111111111111111 xxxxxxxxxxxxxxxx XXXXXXXXXXXXXXXX 1234567890 0123456789abcdef deadbeef""".split())
 
 
-def novelty(candidate: bytes, around: bytes) -> float:
+#: Words of the corpus in the dictionary. They are whole runs of letters, too short for a key and beside no digit, so no
+#: part of a key gets in, however many documents hold it.
+WORDS = 4096
+_WORD = re.compile(rb"(?<![A-Za-z0-9])[A-Za-z]{4,15}(?![A-Za-z0-9])")
+
+
+def dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
+    """The fixed identifiers and the ``WORDS`` words that the most documents hold, the commonest last, where matches are
+    cheapest. All documents count; what reaches the driver is the list of that length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            n: Counter[bytes] = Counter()
+            for text in b.column(0).cast(pa.binary()).to_pylist():
+                n.update(set(_WORD.findall(text or b"")))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+
+    counts = docs.select(docs[text_col].alias("text")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "word").limit(WORDS).select("word").toArrow().column(0).to_pylist()
+    return IDENTIFIERS + b" " + " ".join(reversed(top)).encode()
+
+
+_plain = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, write_dict_id=False)
+#: Bytes of a frame with nothing in it.
+EMPTY = len(_plain.compress(b""))
+
+
+def novelty(candidate: bytes, around: bytes, known: bytes = IDENTIFIERS) -> float:
     """Bytes that the candidate adds to a frame primed with the identifiers and the text around, over its length."""
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed = zstandard.ZstdCompressionDict(known + b"\n" + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     c = zstandard.ZstdCompressor(level=3, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
-    return (len(c.compress(candidate)) - len(c.compress(b""))) / len(candidate)
+    return (len(c.compress(candidate)) - EMPTY) / len(candidate)
 
 
 def _blanked(text: bytes, candidate: bytes) -> bytes:
@@ -70,15 +101,15 @@ def _blanked(text: bytes, candidate: bytes) -> bytes:
     return bytes(out)
 
 
-def _is_novel(b: bytes, s: int, e: int) -> bool:
+def _is_novel(b: bytes, s: int, e: int, known: bytes) -> bool:
     """Whether what stands from ``s`` to ``e`` is novel beside the text around, other copies of it left out."""
     least = NOVELTY if e - s < LONG else NOVELTY_LONG
-    if novelty(b[s:e], b[max(0, s - AROUND) : s] + b"\n" + b[e : e + AROUND]) >= least:
+    if novelty(b[s:e], b[max(0, s - AROUND) : s] + b"\n" + b[e : e + AROUND], known) >= least:
         return True
     # copies that the ends of the text around cut are known by the bytes beyond
     before, after = b[max(0, s - AROUND - LEAST + 1) : s], b[e : e + AROUND + LEAST - 1]
     left, right = _blanked(before, b[s:e]), _blanked(after, b[s:e])
-    return (left != before or right != after) and novelty(b[s:e], left[-AROUND:] + b"\n" + right[:AROUND]) >= least
+    return (left != before or right != after) and novelty(b[s:e], left[-AROUND:] + b"\n" + right[:AROUND], known) >= least
 
 
 def _places(low: bytes, words: tuple[bytes, ...]) -> list[int]:
@@ -112,7 +143,7 @@ def base_spans(b: bytes, low: bytes) -> list[tuple[int, int, int, int]]:
     return sorted(spans)
 
 
-def novel_spans(b: bytes, low: bytes, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+def novel_spans(b: bytes, low: bytes, base: list[tuple[int, int, int, int]], known: bytes = IDENTIFIERS) -> list[tuple[int, int, int, int]]:
     found, done = [], 0
     taken = [(s[0], s[2]) for s in base]
     for at, word in sorted((at, len(w)) for w in SENSITIVE for at in _places(low, (w,))):
@@ -125,19 +156,19 @@ def novel_spans(b: bytes, low: bytes, base: list[tuple[int, int, int, int]]) ->
             at = done = e
             if any(x < e and s < y for x, y in taken):
                 continue
-            if _is_novel(b, s, e):
+            if _is_novel(b, s, e, known):
                 found.append((s, 3, e, s))
                 if after := _NEXT.match(b, e):
                     last = max(last, after.end())
     return found
 
 
-def scan(text: bytes | None) -> tuple[list, list]:
+def scan(text: bytes | None, known: bytes = IDENTIFIERS) -> tuple[list, list]:
     """Base spans and all spans of a text as (start, kind, end, start of the secret) in bytes, in order."""
     b = text or b""
     low = b.lower()
     base = base_spans(b, low)
-    return base, sorted(base + novel_spans(b, low, base))
+    return base, sorted(base + novel_spans(b, low, base, known))
 
 
 def _points(b: bytes, spans: list) -> list[str]:
@@ -156,13 +187,15 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``, ``n_novel`` for every row.
 
     Null and empty texts have no spans (the hash is that of the empty string); repeated rows repeat, null ids stay
-    null, further columns are ignored, no rows give no rows. One narrow pass over whole texts.
+    null, further columns are ignored, no rows give no rows. One pass counts the words of the dictionary, one scans
+    whole texts.
     """
+    known = dictionary(docs, text_col)
 
     def run(c: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")}
         for b in c["text"]:
-            base, every = scan(b)
+            base, every = scan(b, known)
             kinds = [s[1] for s in every]
             for k, name in enumerate(("n_assign", "n_access", "n_hex", "n_novel")):
                 out[name].append(kinds.count(k))
@@ -174,10 +207,10 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return map_batches(docs.select("doc_id", docs[text_col].alias("text")), run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_novel bigint")
 
 
-def redact_text(b: bytes, mark: bytes = b"[SECRET]") -> bytes:
+def redact_text(b: bytes, known: bytes = IDENTIFIERS, mark: bytes = b"[SECRET]") -> bytes:
     """The text with each secret, overlapping ones together, replaced by ``mark``; names before ``=`` or ``:`` stay."""
     out, at = [], 0
-    spans = sorted((s[3], s[2]) for s in scan(b)[1])
+    spans = sorted((s[3], s[2]) for s in scan(b, known)[1])
     for s, e in spans:
         if s >= at:
             out += [b[at:s], mark]
@@ -186,13 +219,16 @@ def redact_text(b: bytes, mark: bytes = b"[SECRET]") -> bytes:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """Every document with its secrets replaced; ``n_chars`` follows where there is one. Clean rows pass unchanged."""
+    """Every document with its secrets replaced; ``n_chars`` follows where there is one. Clean rows, null and empty texts
+    among them, pass unchanged; repeated rows get the same text; null ids and further columns pass, whatever their names;
+    no rows give no rows."""
+    known = dictionary(docs)
 
     def run(batches):
         for batch in slices(batches):
             i = batch.schema.get_field_index("text")
             old = batch.column(i).cast(pa.binary()).to_pylist()
-            new = [None if b is None else redact_text(b) for b in old]
+            new = [None if b is None else redact_text(b, known) for b in old]
             changed = [j for j, (a, b) in enumerate(zip(old, new, strict=True)) if a is not b]
             if changed:
                 batch = batch.set_column(i, batch.schema.field(i), pa.array(new, pa.binary()).cast(batch.schema.field(i).type))
