@@ -112,7 +112,13 @@ def fit(stats: DataFrame, train: DataFrame, scratch: Scratch) -> Model:
     # the sample is cut first and has a proven bound, so the statistics meet it where they are; only it is exchanged
     once = stats.join(train, "doc_id").groupBy("doc_id").agg(F.min(F.struct("v", "y")).alias("r"))
     rows = scratch.cut(once.select("r.v", "r.y", part.alias("calibrate")).repartition(FIT_PARTITIONS))
-    rows = rows.coalesce(FIT_PARTITIONS)
+    model = _fitted(rows.coalesce(FIT_PARTITIONS))
+    scratch.drop(rows)
+    return model
+
+
+def _fitted(rows: DataFrame) -> Model:
+    """rows: ``v``, ``y``, ``calibrate``, few and on storage; read once for each sum."""
     k = len(NAMES)
     m = _sums(rows, lambda v, y: np.r_[len(v), v.sum(0), (v * v).sum(0), y.sum()], 2 * k + 2)
     if not m[0]:

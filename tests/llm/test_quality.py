@@ -1,10 +1,12 @@
 import zlib
+from functools import reduce
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stonefly.llm import quality, textstats
+from stonefly.llm.common import Scratch
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +42,50 @@ def test_only_training_labels_count(spark):
     assert was == pytest.approx(now, abs=1e-9)
 
 
+def test_against_a_direct_solve(spark, tables):
+    """Features written out term by term, and ridge weights by least squares on the stacked system."""
+    docs, labels = tables
+    y = {r.doc_id: int(r.quality >= 1) for r in labels.collect()}
+    ids = [i for i in sorted(y) if not out(i)][:1500]
+    v = np.array([textstats.vector(r.text.encode()) for r in docs.filter(F.col("doc_id").isin(ids)).orderBy("doc_id").collect()])
+    target = np.array([y[i] for i in ids], float)
+    calibrate = np.arange(len(ids)) % 4 == 0
+    rows = spark.createDataFrame([(x.tolist(), int(t), bool(c)) for x, t, c in zip(v, target, calibrate, strict=True)], "v array<double>, y int, calibrate boolean").repartition(5)
+    model = quality._fitted(rows)
+    mean, scale = v.mean(0), np.sqrt(np.maximum(v.var(0), 1e-9))
+    assert np.allclose(model.mean, mean) and np.allclose(model.scale, scale, rtol=1e-6)
+    rng = np.random.default_rng(quality.SEED)
+    w = rng.normal(size=(v.shape[1], quality.FEATURES)) * np.sqrt(2 * quality.GAMMA)
+    b = rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = np.clip((v - mean) / scale, -6, 6)
+    p = np.array([[1.0, *row, *[np.sqrt(2 / quality.FEATURES) * np.cos(row @ w[:, j] + b[j]) for j in range(quality.FEATURES)]] for row in z])
+    a = np.vstack([p[~calibrate], np.sqrt(quality.RIDGE) * np.eye(p.shape[1])])
+    want = np.linalg.lstsq(a, np.r_[target[~calibrate], np.zeros(p.shape[1])], rcond=None)[0]
+    assert np.allclose(model.weights, want, atol=1e-6)
+    assert np.allclose(model.raw(v), p @ want, atol=1e-6)
+    # inner products of the cosines come near the Gaussian kernel
+    c, d = p[:200, 1 + v.shape[1] :], ((z[:200, None] - z[None, :200]) ** 2).sum(2)
+    assert np.abs(c @ c.T - np.exp(-quality.GAMMA * d)).mean() < 0.1
+    # calibration: shares of ones in the bins of the rows that the fit did not see
+    raw = p[calibrate] @ want
+    at = np.clip((raw - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS, 0, quality.BINS - 1).astype(int)
+    used = np.unique(at)
+    x, s = quality.isotonic(quality.LOW + (used + 0.5) * (quality.HIGH - quality.LOW) / quality.BINS, np.array([target[calibrate][at == u].sum() for u in used]), np.array([(at == u).sum() for u in used]))
+    assert np.allclose(model.x, x) and np.allclose(model.y, s)
+
+
+def test_hot_ids(spark, tables):
+    """Rows that share a labelled id train once, and the sample keeps to its bound."""
+    docs, labels = tables
+    one = docs.filter("doc_id < 600")
+    hot = one.unionByName(reduce(lambda a, b: a.unionByName(b), [one.filter("doc_id = 7")] * 40))
+    was = {r.doc_id: r.score for r in quality.score(one, labels).collect()}
+    assert was == pytest.approx({r.doc_id: r.score for r in quality.score(hot, labels).collect()}, abs=1e-9)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "FIT_ROWS", 300)
+        assert 200 < quality.training(labels, Scratch(spark)).count() < 400
+
+
 def test_isotonic():
     """Against the definition: the value at i is max over a <= i of min over b >= i of the mean of a..b."""
     rng = np.random.default_rng(1)
