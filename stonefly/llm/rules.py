@@ -30,13 +30,13 @@ GROUP = 200
 #: Measures with their tails: the quantile below the median and the factor of its distance (None: no lower fence), the same
 #: above, and the least distance of a fence, to which twice the sketch's error at the median is added.
 TAILS = {
-    "mean_word": ((0.1, 4.0), (0.9, 4.0), 0.05),
+    "mean_word": ((0.1, 5.0), (0.9, 5.0), 0.05),
     "symbol_share": (None, (0.85, 4.0), 0.02),
     "bang_share": (None, (0.85, 4.0), 0.02),
-    "upper_share": (None, (0.98, 3.0), 0.005),
-    "digit_share": (None, (0.99, 3.0), 0.005),
+    "upper_share": (None, (0.98, 4.0), 0.005),
+    "digit_share": (None, (0.99, 4.0), 0.005),
     "dup_line_share": (None, (0.99, 2.0), 0.02),
-    "repeat_share": (None, (0.99, 1.5), 0.02),
+    "repeat_share": (None, (0.99, 1.75), 0.02),
 }
 #: Each quantile that some tail asks for, and the median, under the name of its column.
 QUANTILES = {f"q{q * 100:g}".replace(".", "_"): q for q in sorted({0.5, *(t[0] for low, high, _ in TAILS.values() for t in (low, high) if t)})}
