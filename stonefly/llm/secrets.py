@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stonefly.llm.common import map_batches, slices
+from stonefly.llm.common import Scratch, map_batches, slices
 
 #: In the order in which kinds sort at equal starts.
 KINDS = ("assign", "access", "hex", "novel")
@@ -53,15 +53,16 @@ get set put post delete update create insert select where value values key keys
 ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000000000 1111111111111111 xxxxxxxxxxxxxxxx XXXXXXXXXXXXXXXX 1234567890 0123456789abcdef deadbeef""".split())
 
 
-#: Words of the corpus in the dictionary. They are whole runs of letters, too short for a key and beside no digit, so no
+#: Words of the corpus in the dictionary at most. They are whole runs of letters, too short for a key and beside no digit, so no
 #: part of a key gets in, however many documents hold it.
 WORDS = 4096
 _WORD = re.compile(rb"(?<![A-Za-z0-9])[A-Za-z]{4,15}(?![A-Za-z0-9])")
 
 
 def dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
-    """The fixed identifiers and the ``WORDS`` words that the most documents hold, the commonest last, where matches are
-    cheapest. All documents count; what reaches the driver is the list of that length."""
+    """The fixed identifiers and the words that the most documents hold, the commonest last, where matches are cheapest:
+    all from a number of documents on, so many that they are ``WORDS`` at most. All documents count; the driver gets a
+    histogram of some hundred rows and the list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -71,8 +72,17 @@ def dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
     counts = docs.select(docs[text_col].alias("text")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(WORDS).select("word").toArrow().column(0).to_pylist()
-    return IDENTIFIERS + b" " + " ".join(reversed(top)).encode()
+    scratch = Scratch(docs.sparkSession)
+    counts = scratch.cut(counts.withColumn("level", F.floor(8 * F.log2("n"))))
+    least, held = None, 0
+    for r in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        held += r["count"]
+        if held > WORDS:
+            break
+        least = r.level
+    top = [] if least is None else sorted((r.n, r.word) for r in counts.filter(F.col("level") >= least).collect())
+    scratch.drop(counts)
+    return IDENTIFIERS + b" " + " ".join(w for _, w in top).encode()
 
 
 _plain = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, write_dict_id=False)
