@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import uuid
 from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -327,7 +329,19 @@ def group_having(spark, d):
 
 
 def _engine(spark) -> Engine:
-    return Engine(spark, f"{shared_folder(spark)}/tables/{uuid.uuid4().hex[:12]}")
+    """An engine of a query's own, whose tables go when the driver ends."""
+    root = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex[:12]}"
+    atexit.register(_forget, spark, root)
+    return Engine(spark, root)
+
+
+def _forget(spark: SparkSession, root: str) -> None:
+    try:
+        if spark._jsc is not None and not spark._jsc.sc().isStopped():
+            path, fs = hadoop(spark, root)
+            fs.delete(path, True)
+    except (Py4JError, OSError):  # the gateway may be gone as the driver ends
+        pass
 
 
 def _customers(spark, d) -> Engine:

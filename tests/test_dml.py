@@ -228,6 +228,8 @@ def test_indexes(engine, spark):
     engine.sql("INSERT INTO acc (id, owner) VALUES (10, 'x'), (11, 'y')")
     engine.sql("DELETE FROM acc WHERE id = 2")
     assert [r[0] for r in rows(engine.index_scan("acc_id", 2, 11))] == [3, 10] and sum("/data-" in f for f in engine.index_scan("acc_id", 10).inputFiles()) == 1
+    Store(spark, engine.catalog.table("acc").path).vacuum()
+    assert [r[0] for r in rows(engine.index_scan("acc_id", 2, 11))] == [3, 10]
     with pytest.raises(CatalogNotFound):
         engine.sql("CREATE INDEX no ON acc (no)")
 
@@ -247,6 +249,9 @@ def test_text(engine):
         with pytest.raises(TypeMismatch):
             engine.sql(text)
     assert engine.sql("SELECT * FROM w WHERE k = CAST('1' AS INT)").count() == 1
+    # dates pass through as Spark has them
+    engine.register_parquet("orders", "/root/testdata/sf0.001/orders.parquet")
+    assert 0 < engine.sql("SELECT o_orderkey FROM orders WHERE o_orderdate < '1997-01-01' AND o_totalprice > 5").count() < 1500
     for bad in ("UPDATE w SET", "UPDATE w SET k", "UPDATE w SET k = 1 WHERE", "CREATE TABLE x (k INT WHAT)"):
         with pytest.raises(UnsupportedStatement):
             engine.sql(bad)
