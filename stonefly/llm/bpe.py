@@ -34,14 +34,16 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 NEWER_L = "՘֋֌࢏౜೜₏₝-₟꟎꟏꟒꟔꟝꟢꟱꭬꭭\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011df1\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2\U00016ff3\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 NEWER_N = "\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6"
 #: Characters of text taken together; bounds the pieces held at once.
-CHUNK = 1 << 20
+CHUNK = 2 << 20
 #: Pieces of up to so many bytes share arrays of trees.
 SHORT = 64
 #: Leaves of the trees in one array at most.
 LEAVES = 1 << 18
 #: Pieces, of up to ``SHORT`` bytes each, in each of the cache's two generations.
-CACHE = 60_000
+CACHE = 120_000
 NONE = np.int32(2**31 - 1)
+#: Leaves of a tree for a piece of so many bytes.
+_WIDTH = [max(2, 1 << (n - 1).bit_length()) if n else 2 for n in range(SHORT + 1)]
 
 
 def widened(pattern: str) -> str:
@@ -159,19 +161,19 @@ class Encoder:
         if len(self.young) >= CACHE:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        new, by_size = [], {}
+        missing.difference_update(young)
+        if old:
+            again = {p: old[p] for p in missing if p in old}
+            young.update(again)
+            missing.difference_update(again)
+        new, by_size, rank_of, ints = [], {}, self.ranks.get, self.ints
         for p in missing:
-            if p in young:
-                continue
-            if (ids := old.get(p)) is not None:
-                young[p] = ids
-                continue
             b = p.encode()
-            rank = self.ranks.get(b)
+            rank = rank_of(b)
             if rank is not None:
-                young[p] = (self.ints[rank],)
-            elif len(b) <= SHORT:
-                by_size.setdefault(max(2, 1 << (len(b) - 1).bit_length()), []).append((p, b))
+                young[p] = (ints[rank],)
+            elif (n := len(b)) <= SHORT:
+                by_size.setdefault(_WIDTH[n], []).append((p, b))
             else:
                 new.append((p, b))
         long = {p: self.merge_long(b) for p, b in new}  # not kept: the cache is bounded in bytes
