@@ -12,16 +12,16 @@ from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stonefly.functions.expr import BinaryOp, UnaryOp, binary, literal, ref, unary
-from stonefly.functions.types import DType
+from stonefly.functions.expr import BinaryOp, ColumnNotFound, TypeMismatch, UnaryOp, binary, literal, ref, unary
+from stonefly.functions.types import DType, InvalidTypeTag
 from stonefly.operators import joins as J
 from stonefly.operators import relational as R
-from stonefly.functions.expr import TypeMismatch
 from stonefly.plans.dml import ConstraintViolation
 from stonefly.plans.txn import Isolation, TupleNonExistent, TupleNotVisible, TxnManager, WriteConflict, visible_as_of
 from stonefly.session import Engine, UnsupportedStatement, shared_folder
 from stonefly.sources.catalog import CatalogNotFound, DuplicateColumn, TableExists
 from stonefly.sources.publish import hadoop
+from stonefly.streaming import changes, commits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -554,20 +554,20 @@ def stored_get(spark, d):
 
 
 @query("""SELECT * FROM (VALUES ('table', 'CatalogNotFound'), ('column', 'CatalogNotFound'), ('twice', 'DuplicateColumn'), ('exists', 'TableExists'), ('types', 'TypeMismatch'),
-('null', 'ConstraintViolation'), ('key', 'ConstraintViolation'), ('statement', 'UnsupportedStatement'), ('join', 'InvalidJoinCondition'), ('unique', 'NotUnique')) AS v(what, error)""")
+('reference', 'ColumnNotFound'), ('tag', 'InvalidTypeTag'), ('null', 'ConstraintViolation'), ('key', 'ConstraintViolation'), ('statement', 'UnsupportedStatement'), ('join', 'InvalidJoinCondition'), ('unique', 'NotUnique')) AS v(what, error)""")
 def error_kinds(spark, d):
     e = _accounts(spark)
     n = t(spark, d, "nation")
     tries = {
         "table": lambda: e.table("no"), "column": lambda: e.sql("INSERT INTO acc (id, no) VALUES (9, 9)"), "twice": lambda: e.sql("CREATE TABLE two (id INT, id INT)"), "exists": lambda: e.sql("CREATE TABLE acc (id INT)"),
         "types": lambda: e.sql("SELECT id FROM acc WHERE id = '1'"), "null": lambda: e.sql("INSERT INTO acc (n) VALUES (1)"), "key": lambda: e.sql("INSERT INTO acc VALUES (1, 1)"), "statement": lambda: e.sql("MERGE INTO acc"),
-        "join": lambda: J.nested_loop_join(n, n, J.JoinType.INNER), "unique": lambda: R.index_get(n, "n_regionkey", 1),
+        "reference": lambda: ref(n, "no"), "tag": lambda: DType.from_tag(12), "join": lambda: J.nested_loop_join(n, n, J.JoinType.INNER), "unique": lambda: R.index_get(n, "n_regionkey", 1),
     }
     rows = []
     for what, f in tries.items():
         try:
             f()
-        except (CatalogNotFound, DuplicateColumn, TableExists, TypeMismatch, ConstraintViolation, UnsupportedStatement, J.InvalidJoinCondition, R.NotUnique) as x:
+        except (CatalogNotFound, DuplicateColumn, TableExists, TypeMismatch, ConstraintViolation, UnsupportedStatement, ColumnNotFound, InvalidTypeTag, J.InvalidJoinCondition, R.NotUnique) as x:
             rows.append((what, type(x).__name__))
     return R.values(spark, rows, [("what", DType.STRING), ("error", DType.STRING)])
 
@@ -583,9 +583,44 @@ def text_nulls_last(spark, d):
     return e.sql("SELECT k, v FROM w ORDER BY k LIMIT 2")
 
 
+@query("""SELECT CAST(seq AS BIGINT) AS seq, op, CAST(id AS BIGINT) AS id, n FROM (VALUES (2, 'delete', 2, 20), (2, 'insert', 2, 21), (3, 'delete', 1, 10), (4, 'insert', 5, 50)) AS v(seq, op, id, n)""")
+def change_feed(spark, d):
+    """What was committed after the first commit, in the order of commits; the second transaction to begin is the last to commit."""
+    e = _accounts(spark)
+    late, gone, left = e.txns.begin(), e.txns.begin(), e.txns.begin()
+    e.sql("INSERT INTO acc VALUES (5, 50)", late)
+    e.sql("DELETE FROM acc WHERE id = 4", gone)
+    e.txns.abort(gone)
+    e.sql("DELETE FROM acc WHERE id = 3", left)
+    e.sql("UPDATE acc SET n = n + 1 WHERE id = 2")
+    e.sql("DELETE FROM acc WHERE id = 1")
+    e.txns.commit(late)
+    return changes(e, "acc", commits(e, 1)).select("seq", "op", "id", "n")
+
+
 # catalog
 
 
+@query("""SELECT * FROM (VALUES ('oid 0', 'sys_tables'), ('oid 1', 'sys_columns'), ('oid 2', 'sys_indexes'), ('table', 'orders'), ('table of the index', 'orders'),
+('key of the index', 'o_orderkey'), ('index', 'orders_key'), ('dropped', 'CatalogNotFound'), ('its index', 'CatalogNotFound')) AS v(what, name)""")
+def catalog_lookups(spark, d):
+    """By name and by object id, by a second engine too; what is dropped goes with its indexes."""
+    e = _engine(spark)
+    e.register_parquet("orders", f"{d}/orders.parquet")
+    made, own = e.catalog.table("orders"), e.catalog.add_index("orders_key", "orders", "o_orderkey")
+    f = Engine(spark, e.root).catalog
+    rows = [(f"oid {i}", f.table_by_oid(i).name) for i in range(3)] + [("table", f.table_by_oid(made.oid).name), ("table of the index", f.table_by_oid(f.index("orders_key").table_oid).name)]
+    rows += [("key of the index", f.key_of(f.index_by_oid(own.oid))), ("index", f.index_by_oid(own.oid).name)]
+    e.catalog.drop_table("orders")
+    f.refresh()
+    for what, g in (("dropped", lambda: f.table("orders")), ("its index", lambda: f.index_by_oid(own.oid))):
+        try:
+            rows.append((what, str(g())))
+        except CatalogNotFound as x:
+            rows.append((what, type(x).__name__))
+    return R.values(spark, rows, [("what", DType.STRING), ("name", DType.STRING)])
+
+
 @query("SELECT CAST(oid AS BIGINT) AS oid, name, CAST(file_id AS BIGINT) AS file_id FROM (VALUES (0, 'sys_tables', 0), (1, 'sys_columns', 1), (2, 'sys_indexes', 2)) AS v(oid, name, file_id)")
 def sys_tables(spark, d):
     return _engine(spark).table("sys_tables")

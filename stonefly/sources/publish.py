@@ -19,6 +19,18 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
 
 
+def last_number(spark: SparkSession, folder: str, prefix: str, known: int = 0) -> int:
+    """The largest number under which something with this prefix is published, 0 if nothing is. Numbers are taken one after
+    another, so from a ``known`` one on a look at the next suffices; the folder is listed once."""
+    if not known:
+        return max((int(n.removeprefix(prefix)) for n in names(spark, folder) if n.startswith(prefix)), default=0)
+    while True:
+        at, fs = hadoop(spark, f"{folder}/{prefix}{known + 1:012d}")
+        if not fs.exists(at):
+            return known
+        known += 1
+
+
 def read_bytes(spark: SparkSession, path: str) -> bytes:
     at, fs = hadoop(spark, path)
     stream = fs.open(at)

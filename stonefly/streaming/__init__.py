@@ -14,13 +14,19 @@ from stonefly.session import Engine
 _STATE = "committed array<struct<txn: bigint, seq: bigint>>"
 
 
-def changes(engine: Engine, table: str, commits: DataFrame) -> DataFrame:
-    """commits: ``txn``, ``seq``. The rows that these wrote and deleted: ``op`` (insert or delete; an update is both), ``seq``,
+def commits(engine: Engine, after: int = 0) -> DataFrame:
+    """``txn``, ``seq`` of all commits after a place in their order."""
+    states = engine.spark.read.schema(_STATE).json(f"{engine.root}/txns/{engine.txns.PREFIX}*")
+    return states.select(F.explode("committed").alias("c")).select("c.txn", "c.seq").filter(F.col("seq") > after)
+
+
+def changes(engine: Engine, table: str, of_commits: DataFrame) -> DataFrame:
+    """of_commits: ``txn``, ``seq``. The rows that these wrote and deleted: ``op`` (insert or delete; an update is both), ``seq``,
     the columns of the table and the row's id. Rows that no manifest names, of aborted or open transactions, are not there."""
     info = engine.catalog.table(table)
     m = Store(engine.spark, info.path).read_manifest()
     # a batch of commits is a handful of ids; only their segments are read
-    of = {r.txn: r.seq for r in commits.collect()}
+    of = {r.txn: r.seq for r in of_commits.collect()}
     seq = lambda c: F.create_map(*[F.lit(x) for pair in of.items() for x in pair])[F.col(c)] if of else F.lit(None)
     mine = lambda names: [s for s in names if m["of"][s] in of]
     data = lambda names: engine.tables._data(info, [f"{info.path}/{s}" for s in names])
@@ -37,6 +43,6 @@ def follow(engine: Engine, table: str, handle: Callable[[DataFrame, int], None],
     remembers the position, the counterpart of reading a log from a place in it."""
     spark = engine.spark
     states = spark.readStream.schema(_STATE).json(f"{engine.root}/txns/{engine.txns.PREFIX}*")
-    commits = states.select(F.explode("committed").alias("c")).select("c.txn", "c.seq")
-    start = commits.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: handle(changes(engine, table, df), n))
+    new = states.select(F.explode("committed").alias("c")).select("c.txn", "c.seq")
+    start = new.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: handle(changes(engine, table, df), n))
     return start.trigger(**(trigger or {"availableNow": True})).start()
