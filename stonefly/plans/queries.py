@@ -95,13 +95,17 @@ def _indexed(spark, d) -> Engine:
     stamp = hashlib.sha256(f"{now.getPath()}:{now.getLen()}:{now.getModificationTime()}".encode()).hexdigest()[:16]
     e = Engine(spark, f"{shared_folder(spark)}/indexed-{stamp}")
     try:
-        e.catalog.index("orders_key")
+        at, fs = hadoop(spark, e.catalog.index("orders_key").path)
+        if fs.exists(at):
+            return e
+        e.catalog.drop_table("orders")  # someone has cleared the folder
     except CatalogNotFound:
-        try:
-            e.register_parquet("orders", f"{d}/orders.parquet")
-        except TableExists:  # by another session, which may not have made the index
-            pass
-        e.create_index("orders_key", "orders", "o_orderkey", files=8)
+        pass
+    try:
+        e.register_parquet("orders", f"{d}/orders.parquet")
+    except TableExists:  # by another session, which may not have made the index
+        pass
+    e.create_index("orders_key", "orders", "o_orderkey", files=8)
     return e
 
 
