@@ -287,13 +287,18 @@ _encoders: dict[tuple, Encoder] = {}
 
 
 def _encoder(token: str, shipped) -> Encoder:
-    """One encoder a worker process and vocabulary, kept between tasks with its cache."""
+    """One encoder a worker process and vocabulary, kept between tasks; its cache is dropped with each."""
     if token not in _encoders:
         _encoders.clear()
         _encoders[token] = Encoder(shipped.value)
     return _encoders[token]
 
 
+def _forget() -> None:
+    for e in _encoders.values():
+        e.young, e.old = {}, {}
+
+
 def _ship(spark, path: str):
     """The vocabulary (under 2 MB, whatever the corpus) goes to the workers once."""
     ranks = read_ranks(path)
@@ -314,7 +319,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text"
         return {"doc_id": c["doc_id"], "n_tokens": pa.array(n), "ids": pa.ListArray.from_arrays(np.r_[0, np.cumsum(n)].astype(np.int32), pa.array(flat))}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", F.col(text_col).alias("text")), run, f"doc_id {kind}, n_tokens bigint, ids array<int>", binary=())
+    return map_batches(docs.select("doc_id", F.col(text_col).alias("text")), run, f"doc_id {kind}, n_tokens bigint, ids array<int>", binary=(), done=_forget)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -343,4 +348,4 @@ def digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         return {"doc_id": c["doc_id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", binary=())
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", binary=(), done=_forget)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -82,6 +83,14 @@ def _sizes(col: pa.Array) -> np.ndarray:
     return np.full(len(col), col.nbytes // max(1, len(col)) + 1, np.int64)
 
 
+def give_back() -> None:
+    """Hand what a task has freed to the system: Spark keeps Python workers, and an idle one counts with all that it holds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of about ``most`` bytes, so that what Python makes of one stays small however large
     the batches that Spark sends. What a task has freed goes back to the system at its end."""
@@ -96,11 +105,12 @@ def slices(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterat
             end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
             yield b.slice(at, end - at)
             at = end
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
-def map_batches(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list | pa.Array]], schema: T.StructType | str, binary: tuple[str, ...] = ("text",)) -> DataFrame:
-    """Per slice of an Arrow batch, ``f`` turns columns (lists) into columns (lists or arrays). Columns in ``binary`` come as UTF-8 bytes."""
+def map_batches(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list | pa.Array]], schema: T.StructType | str, binary: tuple[str, ...] = ("text",), done: Callable[[], None] | None = None) -> DataFrame:
+    """Per slice of an Arrow batch, ``f`` turns columns (lists) into columns (lists or arrays). Columns in ``binary`` come as
+    UTF-8 bytes. ``done`` is called when a task has no more rows, to drop what it kept."""
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +123,10 @@ def map_batches(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list | p
                 cols[name] = (col.cast(pa.binary()) if name in binary and not pa.types.is_binary(col.type) else col).to_pylist()
             out = f(cols)
             yield pa.RecordBatch.from_arrays([out[x.name] if isinstance(out[x.name], pa.Array) else pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
+        if done:
+            cols = out = None
+            done()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
