@@ -53,8 +53,8 @@ get set put post delete update create insert select where value values key keys
 ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000000000 1111111111111111 xxxxxxxxxxxxxxxx XXXXXXXXXXXXXXXX 1234567890 0123456789abcdef deadbeef""".split())
 
 
-#: Words of the corpus in the dictionary at most. They are whole runs of letters, too short for a key and beside no digit, so no
-#: part of a key gets in, however many documents hold it.
+#: Words of the corpus in the dictionary at most. They are whole runs of letters, too short for a key and beside no digit, so
+#: however many documents hold a key, only such runs between its signs can get in.
 WORDS = 4096
 _WORD = re.compile(rb"(?<![A-Za-z0-9])[A-Za-z]{4,15}(?![A-Za-z0-9])")
 
