@@ -43,8 +43,11 @@ _NEXT = re.compile(rb"[ \t]*\r?\n[ \t]*(?=[A-Za-z0-9+/_.=~-]{%d})" % LEAST)
 #: Bytes after the end of a sensitive word in which a candidate may start, and the text on either side that primes the frame.
 REACH, AROUND = 48, 1024
 #: Marginal compressed bytes over the candidate's length from which on it is reported: a short one that nothing matches
-#: is stored as it is (1.0); from ``LONG`` bytes on literals are Huffman-coded, which saves what the alphabet allows.
+#: is stored as it is (1.0); from ``LONG`` bytes on literals are Huffman-coded, which saves what the alphabet allows. So
+#: there a candidate in an encoding of fewer than six bits a sign is reported from as much less on (digits and lower-case
+#: hex are found by pattern).
 NOVELTY, NOVELTY_LONG, LONG = 0.85, 0.7, 64
+_ENCODINGS = ((re.compile(rb"[0-9A-F]+"), 4), (re.compile(rb"[A-Z2-7]+=*"), 5))
 IDENTIFIERS = b" ".join(b"""self this return import from class function const let var public private static void string int float bool true false null none
 example sample placeholder changeme your_api_key your-token-here insert_token_here password secret token api_key apikey access_key client_secret client_id
 authorization bearer authentication credentials username user_name user_id session_id request response config configuration settings environment os.environ getenv
@@ -97,6 +100,13 @@ def novelty(candidate: bytes, around: bytes, known: bytes = IDENTIFIERS) -> floa
     return (len(c.compress(candidate)) - EMPTY) / len(candidate)
 
 
+def threshold(candidate: bytes) -> float:
+    """Novelty from which on a candidate is reported."""
+    if len(candidate) < LONG:
+        return NOVELTY
+    return NOVELTY_LONG * next((bits / 6 for encoding, bits in _ENCODINGS if encoding.fullmatch(candidate)), 1)
+
+
 def _blanked(text: bytes, candidate: bytes) -> bytes:
     """The text with all that it shares with the candidate over at least a candidate's length made blank."""
     n = range(len(text) - LEAST + 1)
@@ -113,7 +123,7 @@ def _blanked(text: bytes, candidate: bytes) -> bytes:
 
 def _is_novel(b: bytes, s: int, e: int, known: bytes) -> bool:
     """Whether what stands from ``s`` to ``e`` is novel beside the text around, other copies of it left out."""
-    least = NOVELTY if e - s < LONG else NOVELTY_LONG
+    least = threshold(b[s:e])
     if novelty(b[s:e], b[max(0, s - AROUND) : s] + b"\n" + b[e : e + AROUND], known) >= least:
         return True
     # copies that the ends of the text around cut are known by the bytes beyond

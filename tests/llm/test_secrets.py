@@ -78,6 +78,19 @@ def test_any_mix():
             assert [novel(f"the bearer is {k} here") for k in keys] == [[k] for k in keys]
 
 
+def test_encodings():
+    """Long keys in upper-case hex and base32 are found, as incompressible as their signs allow; patterns of such signs are not."""
+    r = random.Random(8)
+    for letters in ("0123456789ABCDEF", string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "+/"):
+        for n in (64, 65, 96, 128, 256, 512, 4096):
+            # a key in which 24 digits meet has a base span instead
+            keys = [k for k in ("".join(r.choices(letters, k=n)) for _ in range(20)) if not re.search("[0-9]{24}", k)]
+            assert [novel(f"the signature is {k} here") for k in keys] == [[k] for k in keys], (letters, n)
+    for part in ("F", "FF00", "1234567890ABCDEF", "DEADBEEF", "ABCDEFGH234567"):
+        for n in (64, 96, 256):
+            assert novel(f"the signature is {(part * n)[:n]} here") == []
+
+
 def test_reach():
     key = "q9Zt7LmX2vKp4RwB8sYc1N"
     for start in ("authorization header of the reporting job: ", "the api key is ", "access-key ", "Private Key:\n", "-----BEGIN RSA PRIVATE KEY-----\n", "my client-id\n\n  "):
@@ -112,7 +125,8 @@ def plain_novel(text, known=secrets.IDENTIFIERS):
             return "".join("\n" if g else c for c, g in zip(part, gone, strict=True))
 
         n, left, right = secrets.AROUND, text[:s], text[e:]
-        least = secrets.NOVELTY if e - s < 64 else secrets.NOVELTY_LONG
+        bits = next((n for signs, n in (("[0-9A-F]+", 4), ("[A-Z2-7]+=*", 5)) if re.fullmatch(signs, text[s:e])), 6)
+        least = secrets.NOVELTY if e - s < 64 else secrets.NOVELTY_LONG * bits / 6
         cut = without(left[-n - 15 :])[-n:] + "\n" + without(right[: n + 15])[:n]
         return max(added(left[-n:] + "\n" + right[:n]), added(cut)) >= least
 
